@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -15,6 +15,8 @@ from twinseek.session import materialize
 BROADCAST_ROWS = 1_000_000
 # Rows of one key that one task may have to hold.
 KEY_ROWS = 100_000
+# Counts of pairs outgrow BIGINT.
+BIG = T.DecimalType(38, 0)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -76,25 +78,23 @@ def dense_index(
     )
 
 
-def running_total(df: DataFrame, key: str, value: str, out: str, digits: int = 4) -> DataFrame:
-    """Adds `out`: the sum of `value` over all rows before this one, in the order of md5(`key`), then `key`.
+def running_totals(df: DataFrame, key: str, values: dict[str, str], digits: int = 4) -> DataFrame:
+    """Adds, for each `out: value` of `values`, the sum of `value` over all rows before this one.
 
-    `key` is unique. Works slice by slice like `dense_index`; the one window without partitions runs over the slice
-    totals, at most 16**digits rows.
+    Rows are ordered by md5(`key`), then `key`, which is unique. Works slice by slice like `dense_index`; the one window
+    without partitions runs over the slice totals, at most 16**digits rows.
     """
+    zero = F.lit(0).cast(BIG)
     hashed = df.withColumn("_h", hash_hex(F.col(key))).withColumn("_slice", F.substring("_h", 1, digits))
-    zero = F.lit(0).cast("decimal(38,0)")
-    totals = hashed.groupBy("_slice").agg(F.sum(F.col(value).cast("decimal(38,0)")).alias("_n"))
+    totals = hashed.groupBy("_slice").agg(*[F.sum(F.col(v).cast(BIG)).alias(f"_{o}") for o, v in values.items()])
     everything = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_slice", F.coalesce(F.sum("_n").over(everything), zero).alias("_before"))
+    offsets = totals.select("_slice", *[F.coalesce(F.sum(f"_{o}").over(everything), zero).alias(f"_{o}") for o in values])
     inside = Window.partitionBy("_slice").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, -1)
-    local = F.coalesce(F.sum(F.col(value).cast("decimal(38,0)")).over(inside), zero)
-    return (
-        hashed.withColumn("_local", local)
-        .join(F.broadcast(offsets), "_slice")  # at most 16**digits rows
-        .withColumn(out, (F.col("_before") + F.col("_local")).cast("decimal(38,0)"))
-        .drop("_h", "_slice", "_local", "_before")
-    )
+    out = hashed.select("*", *[F.coalesce(F.sum(F.col(v).cast(BIG)).over(inside), zero).alias(o) for o, v in values.items()])
+    out = out.join(F.broadcast(offsets), "_slice")  # at most 16**digits rows
+    for o in values:
+        out = out.withColumn(o, (F.col(o) + F.col(f"_{o}")).cast(BIG))
+    return out.drop("_h", "_slice", *[f"_{o}" for o in values])
 
 
 def take_smallest(df: DataFrame, order: str, k: int, tie: str, digits: int = 4) -> DataFrame:
@@ -146,15 +146,19 @@ def global_row_number(df: DataFrame, order: list[Column], out: str) -> DataFrame
     )
 
 
+def int_div(a: Column, b: Column) -> Column:
+    """Whole-number division; also exact for numbers beyond BIGINT as long as the quotient fits."""
+    return F.call_function("div", a, b)
+
+
 def locate(points: DataFrame, point: str, intervals: DataFrame, low: str, high: str, cells: int, end: int) -> DataFrame:
     """Joins each point with the interval that holds it (`low` <= point < `high`); the intervals are disjoint.
 
     [0, end) is cut into `cells` equal cells. An interval is listed under every cell it touches, a point under one, and
     the two meet by an equi-join on the cell: one wide interval is thereby spread over many keys.
     """
-    width = max(1, -(-end // max(1, cells)))
-    big = T.DecimalType(38, 0)
-    cell_of = lambda c: F.floor(c.cast(big) / F.lit(width).cast(big)).cast("bigint")
+    width = F.lit(max(1, -(-end // max(1, cells)))).cast(BIG)
+    cell_of = lambda c: int_div(c.cast(BIG), width)
     listed = intervals.filter(F.col(high) > F.col(low)).withColumn(
         "_cell", F.explode(F.sequence(cell_of(F.col(low)), cell_of(F.col(high) - 1)))
     )
@@ -164,3 +168,20 @@ def locate(points: DataFrame, point: str, intervals: DataFrame, low: str, high:
         .filter((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high)))
         .drop("_cell")
     )
+
+
+def draw(spark: SparkSession, size: int, k: int, seed: int, out: str) -> DataFrame:
+    """`k` distinct numbers of [0, size), the same ones for the same seed.
+
+    [0, size) is cut into `k` stretches whose lengths differ by at most one; a hash of the seed picks one number of
+    each. Nothing is rejected, sorted or de-duplicated, and ``k = size`` gives every number.
+    """
+    whole, extra = divmod(size, k) if k else (0, 0)
+    t = F.col("t").cast(BIG)
+    start = lambda n: (n * F.lit(whole).cast(BIG) + int_div(n * F.lit(extra).cast(BIG), F.lit(max(k, 1)).cast(BIG))).cast(BIG)
+    one = F.lit(1).cast(BIG)
+    picks = spark.range(k).withColumnRenamed("id", "t")
+    if k == size:
+        return picks.select(t.alias(out), "t")
+    low, high = start(t), start((t + one).cast(BIG))
+    return picks.select((low + F.pmod(hash_number(hash_hex(seed, F.col("t"))).cast(BIG), high - low)).cast(BIG).alias(out), "t")
