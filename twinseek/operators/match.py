@@ -65,10 +65,13 @@ def _oriented(pairs: DataFrame, *carry: str) -> DataFrame:
 
 
 def _scored(pairs: DataFrame, classes: DataFrame, measure: Measure, a: str, b: str) -> DataFrame:
-    """Adds the exact score of the class pairs and keeps those that reach their threshold."""
-    left = classes.select(F.col("cid").alias(a), F.col("payload").alias("_a"))
-    right = classes.select(F.col("cid").alias(b), F.col("payload").alias("_b"))
-    joined = pairs.join(left, a).join(right, b)
+    """Adds the exact score of the class pairs and keeps those that reach their threshold.
+
+    Classes with equal features (same set, other threshold) are left to `_equal_features`.
+    """
+    left = classes.select(F.col("cid").alias(a), F.col("payload").alias("_a"), F.col("set_key").alias("_ka"))
+    right = classes.select(F.col("cid").alias(b), F.col("payload").alias("_b"), F.col("set_key").alias("_kb"))
+    joined = pairs.join(left, a).join(right, b).filter("_ka <> _kb").drop("_ka", "_kb")
     if not measure.symmetric:
         joined = joined.repartition(F.xxhash64(a, b))  # Python scoring is slow: spread the pairs evenly first
     # A generated column is computed once; a plain one would be computed again inside the filter.

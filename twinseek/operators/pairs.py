@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinseek.plans.layout import (
@@ -55,25 +55,27 @@ def _cells(index: PairIndex) -> int:
     return max(1024, min(index.n_modules, 4_000_000))
 
 
-def _side(index: PairIndex, name: str) -> DataFrame:
-    unit = F.struct("module", "unit_key", "name", "body")
-    return index.units.select(F.col("number").alias(f"_{name}"), unit.alias(name))
+def _pair_rows(numbers: DataFrame, index: PairIndex, clone: bool, order: str) -> DataFrame:
+    """Units of the numbered pairs; of the two, the one with the smaller `order` column comes first."""
+    columns = ["module", "unit_key", "name", "body"]
 
+    def side(s: str) -> DataFrame:
+        return index.units.select(F.col("number").alias(f"_{s}"), *[F.col(c).alias(f"{s}_{c}") for c in columns])
 
-def _pair_rows(numbers: DataFrame, index: PairIndex, clone: bool, first_is_a: Column) -> DataFrame:
-    both = numbers.join(_side(index, "a"), "_a").join(_side(index, "b"), "_b")
-    x = F.when(first_is_a, F.col("a")).otherwise(F.col("b"))
-    y = F.when(first_is_a, F.col("b")).otherwise(F.col("a"))
-    return both.select(x.alias("x"), y.alias("y")).select(
-        F.col("x.body").alias("func1"),
-        F.col("y.body").alias("func2"),
-        F.col("x.name").alias("func1_name"),
-        F.col("y.name").alias("func2_name"),
+    both = numbers.join(side("a"), "_a").join(side("b"), "_b")
+    a_first = F.col(f"a_{order}") <= F.col(f"b_{order}")
+    first = lambda c: F.when(a_first, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
+    second = lambda c: F.when(a_first, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}"))
+    return both.select(
+        first("body").alias("func1"),
+        second("body").alias("func2"),
+        first("name").alias("func1_name"),
+        second("name").alias("func2_name"),
         F.lit(clone).alias("clone"),
-        F.col("x.module").alias("source_module1"),
-        F.col("y.module").alias("source_module2"),
-        F.col("x.unit_key").alias("unit_key1"),
-        F.col("y.unit_key").alias("unit_key2"),
+        first("module").alias("source_module1"),
+        second("module").alias("source_module2"),
+        first("unit_key").alias("unit_key1"),
+        second("unit_key").alias("unit_key2"),
     )
 
 
@@ -96,7 +98,7 @@ def same_group_pairs(index: PairIndex, k: int | None = None, seed: int = 42) ->
     numbers = at.select(
         (F.col("start") + F.col("i")).cast(BIG).alias("_a"), (F.col("start") + F.col("j")).cast(BIG).alias("_b")
     )
-    return _pair_rows(numbers, index, True, F.col("a.unit_key") <= F.col("b.unit_key"))
+    return _pair_rows(numbers, index, True, "unit_key")
 
 
 def cross_group_pairs(index: PairIndex, k: int | None = None, seed: int = 42) -> DataFrame:
@@ -112,7 +114,7 @@ def cross_group_pairs(index: PairIndex, k: int | None = None, seed: int = 42) ->
     numbers = at.select(
         (F.col("start") + int_div(o, F.col("start"))).cast(BIG).alias("_a"), (o % F.col("start")).cast(BIG).alias("_b")
     )
-    return _pair_rows(numbers, index, False, F.col("a.module") <= F.col("b.module"))
+    return _pair_rows(numbers, index, False, "module")
 
 
 def balanced_sizes(same: int, cross: int, clone_ratio: float) -> tuple[int, int]:
