@@ -121,8 +121,8 @@ def match_levenshtein_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("match_sequence")
 def match_sequence(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole documents by sequence ratio."""
-    found = match_units(documents(spark, sf), measure="sequence_matcher", thresholds=ThresholdConfig(0.9))
+    """Short texts by sequence ratio, which no SQL engine has."""
+    found = match_units(parts(spark, sf), measure="sequence_matcher", thresholds=ThresholdConfig(0.92))
     return found.select(*COLUMNS)
 
 

@@ -53,8 +53,10 @@ def levenshtein_score_above(a: Column, b: Column, threshold: Column) -> Column:
     """Same score, NULL as soon as it is sure to be below `threshold`; the work is bounded by the allowed edits."""
     longer = F.greatest(F.length(a), F.length(b))
     allowed = F.floor((1.0 - threshold) * longer + EPS).cast("int")
-    edits = F.call_function("levenshtein", a, b, allowed)
-    return F.when(a == b, F.lit(1.0)).when(edits >= 0, 1.0 - edits.cast("double") / longer.cast("double"))
+    # The one-element array keeps the distance from being computed at each of its uses.
+    edits = F.array(F.call_function("levenshtein", a, b, allowed))
+    score = F.transform(edits, lambda d: F.when(d >= 0, 1.0 - d.cast("double") / longer.cast("double")))[0]
+    return F.when(a == b, F.lit(1.0)).otherwise(score)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -65,13 +67,18 @@ def sequence_score(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def _sequence_score_above(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    # The matcher keeps what it learned about its second text; rows come ordered by that text.
+    matcher, known = SequenceMatcher(), ""
     for a, b, threshold in batches:
         scores = []
         for x, y, t in zip(a, b, threshold):
             if x == y:
                 scores.append(1.0)
                 continue
-            matcher = SequenceMatcher(None, x, y)
+            if y != known:
+                matcher.set_seq2(y)
+                known = y
+            matcher.set_seq1(x)
             possible = matcher.real_quick_ratio() >= t - EPS and matcher.quick_ratio() >= t - EPS
             scores.append(matcher.ratio() if possible else None)
         yield pd.Series(scores, dtype="float64")

@@ -51,9 +51,6 @@ def normalize_literals(text: Column | str) -> Column:
     return strip_space(squeeze_space(out))
 
 
-def code_points(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-
 
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)

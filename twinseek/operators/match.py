@@ -72,8 +72,11 @@ def _scored(pairs: DataFrame, classes: DataFrame, measure: Measure, a: str, b: s
     left = classes.select(F.col("cid").alias(a), F.col("payload").alias("_a"), F.col("set_key").alias("_ka"))
     right = classes.select(F.col("cid").alias(b), F.col("payload").alias("_b"), F.col("set_key").alias("_kb"))
     joined = pairs.join(left, a).join(right, b).filter("_ka <> _kb").drop("_ka", "_kb")
-    if not measure.symmetric:
-        joined = joined.repartition(F.xxhash64(a, b))  # Python scoring is slow: spread the pairs evenly first
+    if not measure.by_tokens:
+        # Scoring one pair of long texts is slow: spread the pairs evenly, those of one second text in a
+        # few runs. The stated count keeps few pairs apart.
+        parts = int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        joined = joined.repartition(parts, F.col(b), F.pmod(F.xxhash64(a), F.lit(8))).sortWithinPartitions(b)
     # A generated column is computed once; a plain one would be computed again inside the filter.
     once = F.explode(F.array(measure.score_above(F.col("_a"), F.col("_b"), F.col("threshold"))))
     return joined.withColumn("similarity", once).drop("_a", "_b").filter(F.col("similarity") >= F.col("threshold"))
@@ -104,8 +107,6 @@ def _zero_threshold(classes: DataFrame, measure: Measure) -> DataFrame:
     b = free.filter("is_old").select(F.col("cid").alias("old_cid"), F.col("set_key").alias("_kb"),
                                      F.col("payload").alias("_b"), own.alias("_y"), F.explode(ids).alias("_x"))
     pairs = a.join(b, ["_x", "_y"]).filter("_ka <> _kb").withColumn("threshold", F.lit(0.0))
-    if not measure.symmetric:
-        pairs = pairs.repartition(F.xxhash64("new_cid", "old_cid"))
     score = measure.score_above(F.col("_a"), F.col("_b"), F.col("threshold"))
     return pairs.withColumn("similarity", F.coalesce(score, F.lit(0.0))).select(
         "new_cid", "old_cid", "threshold", "similarity"
@@ -177,16 +178,12 @@ def match_units(
         ).withColumn("size", F.size("payload") if m.by_tokens else F.length("payload")),
         "classes",
     )
-    counts = classes.agg(F.sum("members").alias("n"), F.sum(F.col("size").cast("bigint")).alias("total")).first()
-    total, n = counts["total"] or 0, counts["n"] or 0
-
+    n = units.count()
     found = _equal_features(classes, len(values) > 1)
     positive = [v for v in values if v > 0]
     if positive and min(positive) < 1.0:
-        tiers = len(m.tiers(min(positive)))
-        candidates = overlap_pairs(
-            classes, m, min(positive), total * tiers, new_units is None and changed_paths is None
-        )
+        everything_new = new_units is None and changed_paths is None
+        candidates = overlap_pairs(classes, m, min(positive), everything_new)
         if m.symmetric:
             scored = _scored(candidates, classes, m, "small_cid", "large_cid")
             directed = _oriented(scored, "threshold", "similarity")

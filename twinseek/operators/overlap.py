@@ -6,21 +6,54 @@ sides, so only these prefixes are joined (prefix filter). Sizes, positions and t
 then bound the possible overlap of a pair. All bounds are safe: no pair that reaches its threshold is lost. The caller
 computes the exact score.
 
-Features are 64-bit hashes. If two features of one set collide, the set looks smaller than it is; the lost count is
-subtracted from `need`, so that collisions cannot lose a pair either.
+A feature is one BIGINT: rarity in the high bits, a hash in the low ones. Two features with the same number look like
+one feature that occurs twice, which can only raise the overlap of a pair, never lose it.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from twinseek.functions.measures import EPS, Measure, Tier
-from twinseek.functions.text import code_points
+from twinseek.functions.measures import Measure, Tier
 from twinseek.plans.layout import KEY_ROWS, lookup_join
 from twinseek.session import materialize
 
 ROUNDING = 1e-6
+HASH_BITS = 50
+MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd multipliers of the gram hash
+# Rarity is kept as log2 of the holders in steps of 1/64: exact for rare features, within about 1 % for common ones.
+RARITY_STEPS = 64
+# Grams of this length are rare enough to join all of them, which makes the shared count exact.
+LONG_GRAM = 6
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def gram_hashes(texts: pd.Series, q: pd.Series) -> pd.Series:
+    """Hashes of the character grams of each text; the second, third, ... occurrence of a gram hashes differently.
+
+    Array arithmetic over the code points of a text; as column functions it takes about ten times as long.
+    """
+
+    def hashes(text: str, size: int) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        n = max(0, len(codes) - size + 1)
+        grams = np.full(n, size, dtype=np.uint64)
+        for i in range(size):
+            grams = (grams ^ codes[i : i + n]) * MIX
+            grams ^= grams >> np.uint64(29)
+        grams.sort()
+        place = np.arange(n, dtype=np.uint64)
+        first = np.ones(n, dtype=bool)
+        first[1:] = grams[1:] != grams[:-1]
+        nth = place - np.maximum.accumulate(np.where(first, place, 0).astype(np.uint64))
+        mixed = (grams ^ (nth * STEP)) * MIX
+        return (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
+
+    return pd.Series([hashes(t, n) for t, n in zip(texts, q)])
 
 
 def _by_tier(tiers: list[Tier], value: str) -> Column:
@@ -46,83 +79,70 @@ def _tiers_of(size: Column, tiers: list[Tier], measure: Measure, floor: float) -
 def features(classes: DataFrame, measure: Measure, tiers: list[Tier], floor: float) -> DataFrame:
     """(cid, q, h): the hashed features of every class."""
     if measure.by_tokens:
-        hashed = F.array_distinct(F.transform("payload", lambda x: F.xxhash64(x)))
-        return classes.select("cid", F.lit(tiers[0].q).alias("q"), F.explode(hashed).alias("h"))
-    # Texts are spread by class once; counting their grams then needs no further shuffle.
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size("chars") - F.col("q") + 1),
-        lambda i: F.array_join(F.slice(F.col("chars"), i, F.col("q")), ""),
-    )
-    return (
-        classes.select("cid", "size", "payload")
-        .repartition("cid")
-        .select("cid", code_points(F.col("payload")).alias("chars"),
-                F.explode(_tiers_of(F.col("size"), tiers, measure, floor)).alias("q"))
-        .filter(F.size("chars") >= F.col("q"))
-        .select("cid", "q", F.explode(grams).alias("gram"))
-        .groupBy("cid", "q", "gram")
-        .agg(F.count("*").alias("n"))
-        .select("cid", "q", "gram", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("nth"))
-        .select("cid", "q", F.xxhash64("gram", "nth", "q").alias("h"))
-    )
+        return classes.select("cid", F.lit(tiers[0].q).alias("q"), F.explode("payload").alias("x")).select(
+            "cid", "q", F.xxhash64("x").alias("h")
+        )
+    tier = F.explode(_tiers_of(F.col("size"), tiers, measure, floor)).alias("q")
+    return classes.select("cid", "payload", tier).select("cid", "q", F.explode(gram_hashes("payload", "q")).alias("h"))
 
 
-def prefixes(classes: DataFrame, measure: Measure, tiers: list[Tier], floor: float, total: int) -> DataFrame:
-    """One row per class and tier with its rare-first feature prefix, written once.
+def _packed(df: Column, h: Column) -> Column:
+    rarity = F.floor(F.log2(df) * RARITY_STEPS).cast("bigint")
+    return F.shiftleft(rarity, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    `total` is an upper bound on the number of feature rows.
-    """
-    rows = features(classes, measure, tiers, floor)
+
+def prefixes(classes: DataFrame, measure: Measure, tiers: list[Tier], floor: float) -> DataFrame:
+    """One row per class and tier with its rare-first feature prefix, written once."""
+    rows = materialize(features(classes, measure, tiers, floor), "features")  # read several times below
     holders = rows.groupBy("h").agg(F.count("*").alias("df"))
     ordered = (
-        lookup_join(rows, holders, ["h"], "df", total)
+        lookup_join(rows, holders, ["h"], "df", rows.count())
+        .select("cid", "q", _packed(F.col("df"), F.col("h")).alias("feature"))
         .groupBy("cid", "q")
-        .agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("ordered"))
+        .agg(F.sort_array(F.collect_list("feature")).alias("ordered"))
     )
     facts = classes.select("cid", "size", "t", "is_new", "is_old").withColumn("t_eff", F.greatest("t", F.lit(floor)))
     low, q, size, t = _by_tier(tiers, "low"), F.col("q"), F.col("size"), F.col("t_eff")
-    count = size if measure.by_tokens else size - q + 1
 
     def prefix_length(pair: tuple[Column, Column]) -> Column:
         need = F.ceil(measure.shared_min(pair[0], pair[1], t, q) - ROUNDING)
-        return F.greatest(F.lit(0), F.least(F.col("m"), count - need + 1)).cast("int")
+        # A prefix longer by x makes the pair share x more features inside it: worth it for common features.
+        longer = F.lit(0) if measure.by_tokens else F.greatest(F.lit(0), F.when(q >= LONG_GRAM, need - 1).otherwise(F.floor(need / 2)))
+        return F.greatest(F.lit(0), F.least(F.col("m"), F.col("m") - need + 1 + longer)).cast("int")
 
-    as_large = prefix_length(measure.worst_large(size, low, t))
     sized = (
         ordered.join(facts, "cid")
         .withColumn("m", F.size("ordered"))
-        .withColumn("lost", count - F.col("m"))
         .withColumn("p_small", prefix_length(measure.worst_small(size, low, t)))
-        .withColumn("p_large", F.when(size >= low, as_large).otherwise(F.lit(0)))
+        .withColumn("p_large", F.when(size >= low, prefix_length(measure.worst_large(size, low, t))).otherwise(F.lit(0)))
     )
     kept = sized.withColumn("ordered", F.slice("ordered", F.lit(1), F.greatest("p_small", "p_large")))
-    return materialize(
-        kept.select("cid", "q", "size", "t", "is_new", "is_old", "m", "lost", "p_small", "p_large", "ordered"), "prefix"
-    )
+    return materialize(kept.select("cid", "q", "size", "t", "is_new", "is_old", "m", "p_small", "p_large", "ordered"), "prefix")
 
 
 def _postings(prefix: DataFrame, role: str, copies: Column, first_copy: bool) -> DataFrame:
     """Prefix features of one role. Very common features are spread over `copies` keys."""
     listed = prefix.select(
         "*", F.posexplode(F.slice("ordered", F.lit(1), F.col(f"p_{role}"))).alias("pos", "feature")
-    ).filter("feature.df > 1")
+    ).filter(F.col("feature") >= (1 << HASH_BITS))  # held by two sets at least
     salt = F.pmod(F.xxhash64("cid"), copies) if first_copy else F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1))
-    names = ["cid", "size", "t", "is_new", "is_old", "m", "lost", "pos"]
+    names = ["cid", "size", "t", "is_new", "is_old", "m", "pos"]
     return listed.select(
-        "q", F.col("feature.h").alias("h"), salt.alias("salt"), *[F.col(c).alias(f"{role}_{c}") for c in names]
+        "q", "feature", salt.alias("salt"), *[F.col(c).alias(f"{role}_{c}") for c in names]
     )
 
 
 def overlap_pairs(
-    classes: DataFrame, measure: Measure, floor: float, total: int, everything_new: bool, key_rows: int = KEY_ROWS
+    classes: DataFrame, measure: Measure, floor: float, everything_new: bool, key_rows: int = KEY_ROWS
 ) -> DataFrame:
     """(small_cid, large_cid, threshold, small/large is_new, is_old): unordered pairs that may reach their threshold.
 
     `floor` is the smallest positive threshold in use. Pairs whose threshold is 0 are not covered.
     """
     tiers = measure.tiers(floor)
-    prefix = prefixes(classes, measure, tiers, floor, total)
-    copies = F.ceil(F.col("feature.df") / F.lit(key_rows)).cast("bigint")
+    prefix = prefixes(classes, measure, tiers, floor)
+    holders = F.pow(F.lit(2.0), (F.shiftright("feature", HASH_BITS) + 1) / RARITY_STEPS)
+    copies = F.ceil(holders / F.lit(float(key_rows))).cast("bigint")
 
     high = None
     for tier in tiers:
@@ -132,13 +152,13 @@ def overlap_pairs(
 
     small, large = F.col("small_size"), F.col("large_size")
     threshold = F.greatest("small_t", "large_t")
-    need = F.ceil(measure.shared_min(small, large, threshold, F.col("q")) - ROUNDING) - F.least("small_lost", "large_lost")
+    need = F.ceil(measure.shared_min(small, large, threshold, F.col("q")) - ROUNDING)
     rest = F.least(F.col("small_m") - F.col("small_pos"), F.col("large_m") - F.col("large_pos"))
     reachable = F.least("small_pos", "large_pos") + rest >= need
 
     def meet(left: DataFrame, right: DataFrame) -> DataFrame:
         pairs = _postings(left, "small", copies, True).join(
-            _postings(right, "large", copies, False), ["h", "q", "salt"]
+            _postings(right, "large", copies, False), ["feature", "q", "salt"]
         )
         pairs = pairs.filter(
             ((small < large) | ((small == large) & (F.col("small_cid") < F.col("large_cid"))))
