@@ -102,6 +102,7 @@ class Measure:
     worst_small(size, low, t)       (small, large) of the pair with the weakest bound, seen from its smaller side
     worst_large(size, low, t)       the same, seen from its larger side
     tiers(t)                        features to use, by length of the longer text
+    possible(a, b, t)               a cheap test that fails only for pairs below t
     wide_below                      thresholds under this prune so little that the caller has to ask for it
     """
 
@@ -117,6 +118,7 @@ class Measure:
     worst_large: Callable[[Column, Column, Column], tuple[Column, Column]]
     tiers: Callable[[float], list[Tier]]
     wide_below: float
+    possible: Callable[[Column, Column, Column], Column] | None = None
 
 
 def _ratio_ok(small: Column, large: Column, t: Column) -> Column:
@@ -143,10 +145,25 @@ def _sequence_ok(small: Column, large: Column, t: Column) -> Column:
     return 2.0 * small >= t * (small + large) - EPS
 
 
-def _gram_tiers(slope: Callable[[int], float], offset: Callable[[int], float], margin: float) -> list[Tier]:
-    """Longest usable gram first: gram length q needs a shared-gram bound slope(q) * length - offset(q) above zero."""
-    usable = [q for q in range(1, 9) if q == 1 or slope(q) >= margin]
-    lows = {q: math.floor(offset(q) / slope(q) + 1e-6) + 1 if q > 1 else 1 for q in usable}
+def _sequence_possible(a: Column, b: Column, t: Column) -> Column:
+    # The characters outside the common blocks, at most (1 - t) of all, can be edited one by one. Only for short texts
+    # is the edit distance cheaper than the ratio.
+    total = F.length(a) + F.length(b)
+    allowed = F.floor((1.0 - t) * total + EPS).cast("int")
+    return (total > 4 * SHORT_TEXT) | (F.call_function("levenshtein", a, b, allowed) >= 0)
+
+
+# Long grams are rare, so that few texts meet, but an edit spoils more of them, so that fewer have to be shared. In short
+# texts the second effect is stronger: grams that leave a bound below this share of the length are kept for longer ones.
+SHORT_TEXT = 64
+SHORT_TEXT_SHARE = 0.7
+
+
+def _gram_tiers(slope: Callable[[int], float], margin: float) -> list[Tier]:
+    """Longest usable gram first: with grams of length q a pair shares at least slope(q) * length - (q - 1)."""
+    usable = [q for q in range(1, 9) if q == 1 or slope(q) >= margin - 1e-6]
+    lows = {q: math.floor((q - 1.0) / slope(q) + 1e-6) + 1 if q > 1 else 1 for q in usable}
+    lows = {q: max(low, SHORT_TEXT) if q > 1 and slope(q) < SHORT_TEXT_SHARE - 1e-6 else low for q, low in lows.items()}
     tiers, high = [], None
     for q in reversed(usable):
         if high is None or lows[q] < high:
@@ -156,13 +173,13 @@ def _gram_tiers(slope: Callable[[int], float], offset: Callable[[int], float], m
 
 
 def _edit_tiers(t: float) -> list[Tier]:
-    return _gram_tiers(lambda q: 1.0 - q * (1.0 - t), lambda q: q - 1.0, 0.2 - 1e-6)
+    return _gram_tiers(lambda q: 1.0 - q * (1.0 - t), 0.5)
 
 
 def _sequence_tiers(t: float) -> list[Tier]:
     # The weakest pair with a longer text of length x has x * 2 / (2 - t) characters in all.
     share = 2.0 / (2.0 - t)
-    return _gram_tiers(lambda q: share * (0.5 - (q - 0.5) * (1.0 - t)), lambda q: q - 1.0, 0.2 - 1e-6)
+    return _gram_tiers(lambda q: share * (0.5 - (q - 0.5) * (1.0 - t)), 0.2)
 
 
 MEASURES = {
@@ -198,6 +215,7 @@ MEASURES = {
             worst_large=lambda n, low, t: (n * t / (2.0 - t), n),
             tiers=_sequence_tiers,
             wide_below=0.5,
+            possible=_sequence_possible,
         ),
         Measure(
             name="levenshtein_norm",

@@ -72,6 +72,8 @@ def _scored(pairs: DataFrame, classes: DataFrame, measure: Measure, a: str, b: s
     left = classes.select(F.col("cid").alias(a), F.col("payload").alias("_a"), F.col("set_key").alias("_ka"))
     right = classes.select(F.col("cid").alias(b), F.col("payload").alias("_b"), F.col("set_key").alias("_kb"))
     joined = pairs.join(left, a).join(right, b).filter("_ka <> _kb").drop("_ka", "_kb")
+    if measure.possible:
+        joined = joined.filter(measure.possible(F.col("_a"), F.col("_b"), F.col("threshold")))
     if not measure.by_tokens:
         # Scoring one pair of long texts is slow: spread the pairs evenly, those of one second text in a
         # few runs. The stated count keeps few pairs apart.
