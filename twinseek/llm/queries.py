@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from twinseek.llm import byte_bpe, language_id, source_mixing
+from twinseek.llm.common import held_out
 from twinseek.llm.exact_dedup import exact_groups
 from twinseek.llm.simhash_dedup import simhash_groups
 
@@ -27,6 +31,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op3_byte_bpe")
+def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query(
     "op4_exact_dedup",
     """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -38,6 +48,46 @@ def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_groups(table(spark, sf, "documents"), keep="max")
 
 
+def _fill_sql(level: str, parents: list[str], nodes: str) -> str:
+    """One level of budgets: the same integer arithmetic as the operator's."""
+    family = f"PARTITION BY {', '.join(parents)}" if parents else ""
+    path = ", ".join([*parents, level])
+    return f"""{level}_a AS (SELECT *, CASE WHEN w > 0 THEN supply::DOUBLE / w::DOUBLE END AS ratio FROM ({nodes})),
+      {level}_b AS (SELECT *, sum(supply::HUGEINT) OVER o - supply AS before, sum(w::HUGEINT) OVER f - sum(w::HUGEINT) OVER o + w AS w_left,
+        budget - (sum(supply::HUGEINT) OVER o - supply) AS lft, row_number() OVER o AS rnk
+        FROM {level}_a WINDOW f AS ({family}), o AS ({family} ORDER BY ratio ASC NULLS LAST, {level} ROWS UNBOUNDED PRECEDING)),
+      {level}_c AS (SELECT *, min(CASE WHEN NOT (w > 0 AND supply::HUGEINT * w_left <= lft * w) THEN rnk END) OVER ({family}) AS fst FROM {level}_b),
+      {level}_d AS (SELECT *, max(CASE WHEN rnk = fst THEN lft END) OVER ({family}) AS rest, max(CASE WHEN rnk = fst THEN w_left END) OVER ({family}) AS w_rest
+        FROM {level}_c),
+      {level}_e AS (SELECT {path}, greatest(0, CASE WHEN fst IS NULL OR rnk < fst THEN supply
+        WHEN w_rest > 0 THEN least(rest * w // w_rest, supply) ELSE 0 END)::BIGINT AS budget FROM {level}_d)"""
+
+
+MIX_SQL = f"""WITH counted AS (SELECT doc_id, 'domain' || (('0x' || substr(md5(coalesce(source, '')), 1, 6))::BIGINT % 4) AS domain,
+        coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS n_tokens FROM documents),
+      leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM counted GROUP BY ALL),
+      {_fill_sql("domain", [], "SELECT domain, sum(tokens) * 4 AS supply, 1 AS w, (SELECT sum(tokens) * 4 // 5 FROM leaves) AS budget FROM leaves GROUP BY domain")},
+      {_fill_sql("lang", ["domain"], "SELECT domain, lang, sum(tokens) * 4 AS supply, CASE lang WHEN 'en' THEN 2 ELSE 1 END AS w, any_value(budget) AS budget FROM leaves JOIN domain_e USING (domain) GROUP BY ALL")},
+      {_fill_sql("source", ["domain", "lang"], "SELECT domain, lang, source, sum(tokens) * 4 AS supply, 1 AS w, any_value(budget) AS budget FROM leaves JOIN lang_e USING (domain, lang) GROUP BY ALL")},
+      plan AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS full_epochs FROM leaves JOIN source_e USING (domain, lang, source)),
+      running AS (SELECT c.*, full_epochs, budget - full_epochs * tokens AS part, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+        ORDER BY md5('17:' || (full_epochs + 1) || ':' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM counted c JOIN plan USING (domain, lang, source)),
+      picked AS (SELECT *, full_epochs + CASE WHEN upto <= part THEN 1 ELSE 0 END AS copies FROM running WHERE full_epochs > 0 OR part > 0)
+    SELECT doc_id, domain, lang, source, n_tokens, unnest(range(1, (copies + 1)::BIGINT)) AS epoch FROM picked"""
+
+
+@query("op8_source_mixing", MIX_SQL)
+def op8_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return source_mixing.mix(table(spark, sf, "documents"))
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    found = language_id.predict(docs.select("doc_id", "text"), language_id.train(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query("op9_simhash_dedup")
 def op9_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_groups(table(spark, sf, "documents"))
