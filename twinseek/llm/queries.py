@@ -12,6 +12,7 @@ from twinseek.llm import byte_bpe, language_id, source_mixing
 from twinseek.llm.common import held_out
 from twinseek.llm.exact_dedup import exact_groups
 from twinseek.llm.simhash_dedup import simhash_groups
+from twinseek.llm.substring_dedup import repeat_digests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +32,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return repeat_digests(table(spark, sf, "documents"))
+
+
 @query("op3_byte_bpe")
 def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
