@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from twinseek.llm import byte_bpe, language_id, source_mixing
 from twinseek.llm.common import held_out
+from twinseek.llm.embedding_dedup import embedding_groups
 from twinseek.llm.exact_dedup import exact_groups
 from twinseek.llm.simhash_dedup import simhash_groups
 from twinseek.llm.substring_dedup import repeat_digests
@@ -32,6 +33,21 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query(
+    "op1_embedding_dedup",
+    """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+      p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+      reach(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a),
+      low AS (SELECT a, min(b) AS low FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+      vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+    FROM embeddings LEFT JOIN low ON low.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+)
+def op1_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_groups(table(spark, sf, "embeddings"))
+
+
 @query("op2_substring_dedup")
 def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return repeat_digests(table(spark, sf, "documents"))
