@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinseek.llm import byte_bpe, language_id, source_mixing
+from twinseek.llm.chat_format import chat_examples
 from twinseek.llm.common import held_out
 from twinseek.llm.embedding_dedup import embedding_groups
 from twinseek.llm.exact_dedup import exact_groups
+from twinseek.llm.html_extraction import main_texts
+from twinseek.llm.quality_classifier import quality_scores
 from twinseek.llm.simhash_dedup import simhash_groups
 from twinseek.llm.substring_dedup import repeat_digests
 
@@ -36,7 +39,7 @@ def query(name: str, sql: str | None = None):
 @query(
     "op1_embedding_dedup",
     """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
       p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
       reach(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a),
       low AS (SELECT a, min(b) AS low FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
@@ -70,6 +73,31 @@ def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_groups(table(spark, sf, "documents"), keep="max")
 
 
+@query(
+    "op5_chat_format",
+    """WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+        count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+      h AS (SELECT conv_id, pos, n, md5(string_agg(role || chr(31) || text || chr(30), '') OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS h FROM t),
+      whole AS (SELECT n, h, min(conv_id) AS conv_id, count(*) AS copies FROM h WHERE pos = n GROUP BY n, h),
+      kept AS (SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.pos < h.n AND h.pos = w.n AND h.h = w.h))
+    SELECT k.conv_id, k.n AS n_turns, k.copies, string_agg('<|im_start|>' || role || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
+    FROM kept k JOIN t ON t.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY ALL""",
+)
+def op5_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    return chat_examples(table(spark, sf, "conversations"))
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op7_html_extraction")
+def op7_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return main_texts(table(spark, sf, "pages"))
+
+
 def _fill_sql(level: str, parents: list[str], nodes: str) -> str:
     """One level of budgets: the same integer arithmetic as the operator's."""
     family = f"PARTITION BY {', '.join(parents)}" if parents else ""
