@@ -9,11 +9,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from twinseek.catalog import QUERIES
 from twinseek.operators.thresholds import ThresholdConfig
 from twinseek.plans.jobs import build_pairs, check_changes, evaluate_measures, module_functions
 from twinseek.schema import UNIT_SCHEMA
 from twinseek.sources.files import changed_set, scan_files, scan_folder
-from twinseek.sources.sinks import load_pairs
+from twinseek.sources.sinks import load_pairs, report_document
 from twinseek.streaming.check import read_stream_matches, stream_check
 
 ADD = """def total(items):
@@ -54,10 +55,15 @@ def test_check_changes(spark, project, tmp_path):
     assert {(r["new_name"], r["old_path"], r["old_name"]) for r in found.collect()} == {
         ("total", "pkg/b.py", "sum_up"), ("total", "pkg/c.py", "count_all"),
     }
-    document = json.loads(spark.read.text(f"{out}/document").first()[0])
+    written = spark.read.json(f"{out}/matches").collect()
+    assert len(written) == spark.read.json(f"{out}/summary").first().total_matches == 2
+    for r in written:
+        assert r.new_function.body_content.startswith("def total") and r.new_function.signature == "def total(items)"
+        assert r.existing_function.name in r.existing_function.body_content and r.existing_function.signature
+    document = json.loads(report_document(found, 1).first()[0])
     assert document["summary"]["total_matches"] == 2 and document["summary"]["analysis_complete"]
+    assert len(document["matches"]) == document["matches_left_out"] == 1
     assert document["matches"][0]["new_function"]["file_path"] == "a.py"
-    assert spark.read.json(f"{out}/matches").count() == 2
     lines = spark.createDataFrame([("a.py", 3)], "file_path STRING, line INT")
     assert check_changes(spark, project, "a.py", thresholds=ThresholdConfig(0.5), changed_lines=lines).count() == 2
     lines = spark.createDataFrame([("a.py", 30)], "file_path STRING, line INT")
@@ -112,7 +118,7 @@ def plain(rows, columns):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_named_query(spark, name):
     df = entry_point.queries()[name](spark, DATA)
     rows = [tuple(r) for r in df.collect()]

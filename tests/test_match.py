@@ -43,12 +43,13 @@ SCORES = {"jaccard_tokens": jaccard, "levenshtein_norm": edit, "sequence_matcher
 
 
 def threshold(config: ThresholdConfig, path: str) -> float:
-    best, found = "", config.global_threshold
-    for folder, value in config.folder_thresholds.items():
-        f = folder.strip("/")
-        if path.strip("/").startswith(f) and len(f) > len(best):
-            best, found = f, value
-    return found
+    """Of the path's own prefixes, the longest one that is a folder; of equal folders the first counts."""
+    values = {}
+    for folder in reversed(config.folder_thresholds):
+        values[folder.strip("/")] = config.folder_thresholds[folder]
+    clean = path.strip("/")
+    known = [n for n in range(1, len(clean) + 1) if clean[:n] in values]
+    return values[clean[: max(known)]] if known else config.global_threshold
 
 
 def nested_loop(rows, measure, config, new=None):
@@ -169,15 +170,24 @@ def test_colliding_hashes_lose_nothing(spark, monkeypatch):
         assert set(got) == nested_loop(rows, measure, ThresholdConfig(0.7))
 
 
-def test_wide_thresholds_have_to_be_requested(spark):
+def test_wide_thresholds_warn(spark):
     units = spark.createDataFrame(rows_of(["a b", "a c"]), COLUMNS)
-    with pytest.raises(ValueError, match="allow_wide"):
-        match_units(units, measure="levenshtein_norm", thresholds=ThresholdConfig(0.3))
-    with pytest.raises(ValueError, match="allow_wide"):
-        match_units(units, thresholds=ThresholdConfig(0.0))
+    for measure, t in (("levenshtein_norm", 0.3), ("jaccard_tokens", 0.0)):
+        with pytest.warns(UserWarning, match="almost all pairs"):
+            assert match_units(units, measure=measure, thresholds=ThresholdConfig(t)).count() == 2
+
+
+def test_threshold_table(spark):
+    """The same thresholds as a table and as a map; units without a body match nothing."""
+    rows = rows_of(texts(3, 60))
+    units = spark.createDataFrame([*rows, (900, "n", "n.py", 1, 2, None, None), (901, "m", "m.py", 1, 2, None, None)], COLUMNS)
+    folders = {rows[0][2][:5]: 0.9, rows[1][2][:3]: 0.5, "/": 0.1}
+    table = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(folders.items())], "folder STRING, threshold DOUBLE, pos INT")
+    got = pairs(match_units(units, thresholds=table, global_threshold=0.6))
+    assert set(got) == nested_loop(rows, "jaccard_tokens", ThresholdConfig(0.6, folders))
 
 
 def test_registry():
     assert list(available_measures()) == ["jaccard_tokens", "sequence_matcher", "levenshtein_norm"]
-    with pytest.raises(ValueError, match="Available methods: jaccard_tokens, sequence_matcher, levenshtein_norm"):
+    with pytest.raises(ValueError, match="cosine"):
         get_measure("cosine")

@@ -60,8 +60,8 @@ def test_paths_and_names(spark):
 
 
 def test_thresholds(spark):
-    config = ThresholdConfig(0.5, {"src/shared": 0.3, "src/projects/integrations": 0.4})
-    cases = [("test-duplicate.py", 0.5), ("src/shared/utils/text.py", 0.3), ("/src/projects/integrations/b/r.py", 0.4)]
+    config = ThresholdConfig(0.55, {"lib/core": 0.35, "lib/plugins/web": 0.45})
+    cases = [("setup.py", 0.55), ("lib/core/io/read.py", 0.35), ("/lib/plugins/web/q/z.py", 0.45), ("lib/plugins/w.py", 0.55)]
     df = spark.createDataFrame(cases, "p STRING, e DOUBLE")
     assert df.filter(folder_threshold("p", config) != F.col("e")).count() == 0
     quirky = ThresholdConfig(0.7, {"src1": 0.5, "/": 0.1, "a": 0.2, "a/": 0.9, "src1/en/": 0.6})
@@ -77,20 +77,20 @@ def test_thresholds(spark):
 
 
 def test_report_decisions(spark):
-    config = ThresholdConfig(folder_thresholds={"src/shared": 0.1, "src/tests": 0.9})
+    config = ThresholdConfig(folder_thresholds={"lib/core": 0.25, "bench": 0.85})
     cases = [
-        (0.5, "src/shared/utils.py", True), (0.05, "src/shared/utils.py", False), (0.95, "src/tests/test_main.py", True),
-        (0.8, "src/tests/test_main.py", False), (0.8, "src/main.py", True), (0.6, "src/main.py", False),
-        (0.7, "src/main.py", True),
-    ]
+        (score, path, score >= least)
+        for path, least in (("lib/core/a.py", 0.25), ("bench/b.py", 0.85), ("app.py", 0.7))
+        for score in (0.0, 0.2, 0.25, 0.69, 0.7, 0.84, 0.85, 1.0)
+    ]
     df = spark.createDataFrame(cases, "similarity DOUBLE, file_path STRING, e BOOLEAN")
     assert sorted(map(tuple, should_report(df, config).collect())) == sorted(c for c in cases if c[2])
 
 
 def test_threshold_settings():
     assert ThresholdConfig().global_threshold == 0.7
-    config = ThresholdConfig.from_strings("0.9", '{"src/shared": 0.1, "src/core": 1}')
-    assert (config.global_threshold, config.folder_thresholds) == (0.9, {"src/shared": 0.1, "src/core": 1})
+    config = ThresholdConfig.from_strings("0.65", '{"lib/core": 0.15, "bench": 1}')
+    assert (config.global_threshold, config.folder_thresholds) == (0.65, {"lib/core": 0.15, "bench": 1})
     assert ThresholdConfig.from_strings(None, "{}").folder_thresholds == {}
     for bad in (("x", None), (None, "nope"), (None, "[1]"), (None, '{"a": "b"}'), ("1.5", None), (None, '{"a": -1}')):
         with pytest.raises(ValueError):
@@ -211,13 +211,24 @@ def test_validate_units(spark):
     assert bad.count() == 5
 
 
+def test_conflicting_labels_and_tabs(spark):
+    long = "def f(x):\n    y = x + 1\n    return y"
+    rows = [(long, long + "1", True, "a"), (long, long + "1", False, "a"), (long, long + "2", True, "z"), (long, long + "2", True, "b")]
+    pairs = spark.createDataFrame(rows, "func1 STRING, func2 STRING, clone BOOLEAN, source_module1 STRING")
+    assert [r.source_module1 for r in pair_quality(pairs).collect()] == ["b"]
+    tabs = spark.createDataFrame([("def f():\tpass\n", "def g():\n\tpass", True)], "func1 STRING, func2 STRING, clone BOOLEAN")
+    assert pair_quality(tabs).count() == 0
+    assert pair_quality(tabs, exclude_trivial=False).count() == 1
+
+
 def test_pair_quality(spark):
     long = "def f(x):\n    y = x + 1\n    return y"
     rows = [(long, long + "#", True), (long, long + "#", True), (long, "def f(): pass", True), (long, "def f(x):\n    return x", False),
             ("x", long, False), (long + "a", long + "b", False)]
     pairs = spark.createDataFrame(rows, "func1 STRING, func2 STRING, clone BOOLEAN")
-    assert pair_quality(pairs).count() == 2
-    assert pair_quality(pairs, max_pairs=1).count() == 1
+    assert pair_quality(pairs, min_length=10).count() == 2
+    assert pair_quality(pairs).count() == 3
+    assert pair_quality(pairs, min_length=10, max_pairs=1).count() == 1
 
 
 def test_make_variants(spark):

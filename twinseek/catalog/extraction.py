@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -7,7 +9,9 @@ from twinseek.catalog.registry import DOCUMENTS_SQL, PARTS_SQL, SPACE, TOKENS, d
 from twinseek.functions.text import is_private, is_test_file, normalize_lines, normalize_literals, tokenize
 from twinseek.operators.changes import hunk_lines, touched_units
 from twinseek.operators.extract import extract_functions, number_units, parse_responses, split_units
-from twinseek.operators.filters import filter_units, is_domain_name, name_family, pattern_filter
+from twinseek.operators.filters import (
+    DOMAIN_WORDS, EXCLUDED_PATHS, IGNORED_NAMES, NAME_FAMILIES, filter_units, is_domain_name, name_family, pattern_filter,
+)
 from twinseek.operators.variants import make_variants
 from twinseek.schema import unit_metrics, validate_units
 from twinseek.session import scratch_path
@@ -119,8 +123,7 @@ _RESPONSE_SQL = """WITH r AS (SELECT p_partkey, 'def a_' || p_partkey || '(x):'
   SELECT p_partkey, 1 AS variant_no, a AS body FROM r UNION ALL SELECT p_partkey, 2, b FROM r"""
 
 
-@query("parse_responses", _RESPONSE_SQL)
-def q_parse_responses(spark: SparkSession, sf: str) -> DataFrame:
+def _responses(spark: SparkSession, sf: str) -> DataFrame:
     """Texts with two functions; promo parts add an unfinished third one, which only a line scan survives."""
     part = table(spark, sf, "part")
     text = F.concat(
@@ -128,8 +131,19 @@ def q_parse_responses(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("\n\n\ndef b(y):\n    return '"), F.col("p_name"), F.lit("'\n"),
         F.when(F.col("p_type") == "PROMO", F.lit("\ndef c(z:\n    return\n")).otherwise(F.lit("x = 1\n")), F.lit("```"),
     )
-    good, _ = parse_responses(part.select("p_partkey", text.alias("text")), "p_partkey")
-    return good
+    return part.select("p_partkey", text.alias("text"))
+
+
+@query("parse_responses", _RESPONSE_SQL)
+def q_parse_responses(spark: SparkSession, sf: str) -> DataFrame:
+    return parse_responses(_responses(spark, sf), "p_partkey")[0]
+
+
+@query("parse_responses_rejected", "SELECT p_partkey, 3 AS variant_no, 'def c(z:' || chr(10) || '    return' AS body, TRUE AS has_error FROM part WHERE p_type = 'PROMO'")
+def q_parse_responses_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces put aside, with the reason."""
+    bad = parse_responses(_responses(spark, sf), "p_partkey")[1]
+    return bad.select("p_partkey", "variant_no", "body", (F.length("error") > 0).alias("has_error"))
 
 
 # --- columns of units --------------------------------------------------------------------------------------------------
@@ -272,11 +286,20 @@ def q_is_private(spark: SparkSession, sf: str) -> DataFrame:
     return _units(spark, sf).groupBy("name", is_private("name").alias("is_private")).agg(F.count("*").alias("n"))
 
 
+def _glob_sql(pattern: str) -> str:
+    """Anchored regular expression of a path or name glob: `**/` any folders, `**` anything, `*` anything but a slash."""
+    parts = re.split(r"(\*\*/|\*\*|\*)", pattern)
+    return "^" + "".join({"**/": "(.*/)?", "**": ".*", "*": "[^/]*"}.get(x, re.escape(x)) for x in parts) + "$"
+
+
+_EXCLUDED = "|".join(map(_glob_sql, EXCLUDED_PATHS))
+_FAMILIES = " ".join(f"WHEN regexp_matches(name, '{'|'.join(map(_glob_sql, globs))}') THEN '{family}'" for family, globs in NAME_FAMILIES.items())
+
+
 @query(
     "pattern_filter",
-    f"""WITH {_UNITS_SQL} SELECT l_orderkey, l_linenumber FROM u WHERE regexp_matches(file_path, '^src/(.*/)?[^/]*\\.py$')
-      AND NOT regexp_matches(file_path, '^(generated|migrations|vendor)/.*$|^(.*/)?(conftest|test_[^/]*|[^/]*_test)\\.py$')
-      AND NOT regexp_matches(name, '^(test_|_|setup|teardown|mock_|fixture_)')""",
+    f"""WITH {_UNITS_SQL} SELECT l_orderkey, l_linenumber FROM u WHERE regexp_matches(file_path, '{_glob_sql("src/**/*.py")}')
+      AND NOT regexp_matches(file_path, '{_EXCLUDED}') AND NOT regexp_matches(name, '{"|".join(IGNORED_NAMES)}')""",
 )
 def q_pattern_filter(spark: SparkSession, sf: str) -> DataFrame:
     return pattern_filter(_units(spark, sf), include=("src/**/*.py",)).select(*_KEY)
@@ -284,11 +307,7 @@ def q_pattern_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "name_family",
-    f"""WITH {_UNITS_SQL} SELECT name, CASE WHEN regexp_matches(name, '^(validate|check|verify|is_valid)_[^/]*$') THEN 'validation'
-      WHEN regexp_matches(name, '^(process|transform|convert|parse|format)_[^/]*$') THEN 'data_processing'
-      WHEN regexp_matches(name, '^(create|update|delete|get|find|fetch)_[^/]*$') THEN 'crud_operations'
-      WHEN regexp_matches(name, '^(calculate|compute|sum|count|total)_[^/]*$') THEN 'calculations' END AS family,
-      regexp_matches(lower(name), 'user|auth|data|api|service|util|helper|process|validate|calculate|transform|parse|format|convert') AS is_domain,
+    f"""WITH {_UNITS_SQL} SELECT name, CASE {_FAMILIES} END AS family, regexp_matches(lower(name), '{"|".join(DOMAIN_WORDS)}') AS is_domain,
       count(*) AS n FROM u GROUP BY ALL""",
 )
 def q_name_family(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,11 +8,13 @@ from twinseek.catalog.registry import (
 )
 from twinseek.functions.measures import register_measures
 from twinseek.functions.text import token_set
+from twinseek.operators.changes import touched_units
 from twinseek.operators.match import exclude_self, match_units
+from twinseek.operators.report import gate
 from twinseek.operators.thresholds import (
     ThresholdConfig, folder_threshold, folder_threshold_table, score_ge_threshold, should_report,
 )
-from twinseek.schema import UNIT_SCHEMA
+from twinseek.schema import UNIT_SCHEMA, validate_units
 from twinseek.session import materialize, scratch_path
 from twinseek.streaming.check import read_stream_matches, stream_check
 
@@ -24,9 +26,9 @@ COLUMNS = ["new_id", "new_path", "old_id", "old_path", "similarity", "threshold"
 _RULES = ", ".join(f"('{k}', {v}::DOUBLE, {i})" for i, (k, v) in enumerate(FOLDERS.items()))
 
 
-def thresholds_sql(units: str, global_threshold: float = 0.7, rules: str = _RULES) -> str:
-    """CTE `thr(file_path, t)` for the paths of a CTE."""
-    return f"""rules(folder, threshold, pos) AS (VALUES {rules}),
+def thresholds_sql(units: str, global_threshold: float = 0.7, rules: str = _RULES, table_sql: str | None = None) -> str:
+    """CTE `thr(file_path, t)` for the paths of a CTE; the rules are literal rows, or a query."""
+    return f"""rules(folder, threshold, pos) AS ({table_sql or f"VALUES {rules}"}),
       hits AS (SELECT file_path, threshold, row_number() OVER (PARTITION BY file_path
           ORDER BY length(trim(folder, '/')) DESC, pos) AS r
         FROM (SELECT DISTINCT file_path FROM {units}) p JOIN rules
@@ -35,6 +37,11 @@ def thresholds_sql(units: str, global_threshold: float = 0.7, rules: str = _RULE
         FROM (SELECT DISTINCT file_path FROM {units}) p LEFT JOIN hits h ON p.file_path = h.file_path AND h.r = 1)"""
 
 
+_SOURCE_RULES = """SELECT source || '/' AS folder, round(0.3 + 0.6 * (max(n_chars) % 100) / 100.0, 2)::DOUBLE AS threshold,
+  0 AS pos FROM documents GROUP BY source UNION ALL SELECT source || '/' || lang, 0.95::DOUBLE, 1 FROM documents
+  GROUP BY source, lang HAVING count(*) > 20"""
+
+
 CONFIDENCE_SQL = """CASE WHEN similarity >= 0.8 THEN 'High' WHEN similarity >= 0.6 THEN 'Medium'
       WHEN similarity >= 0.4 THEN 'Low' ELSE 'Very Low' END"""
 
@@ -126,16 +133,70 @@ def match_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(*COLUMNS)
 
 
+@query(
+    "match_sequence_known",
+    f"""WITH {PARTS_SQL}, k AS (SELECT unit_id, 2.0::DOUBLE * length(body) AS both_n, 1 + unit_id % 6 AS extra FROM parts)
+    SELECT unit_id, round(both_n / (both_n + extra), 9) AS similarity FROM k WHERE both_n / (both_n + extra) >= 0.95::DOUBLE""",
+)
+def match_sequence_known(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part text against itself plus a run of characters found in neither: the ratio is 2n / (2n + run)."""
+    old = parts(spark, sf)
+    longer = F.concat("body", F.repeat(F.lit("~"), (1 + F.col("unit_id") % 6).cast("int")))
+    new = old.withColumn("body", longer).withColumn("file_path", F.concat(F.lit("new/"), "file_path"))
+    found = match_units(old, new_units=new, measure="sequence_matcher", thresholds=ThresholdConfig(0.95))
+    return found.filter("new_id = old_id").select(F.col("new_id").alias("unit_id"), F.round("similarity", 9).alias("similarity"))
+
+
+@query(
+    "match_levenshtein_texts",
+    f"""WITH old AS (SELECT item_id, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS body FROM benchmark),
+      new AS (SELECT item_id, replace(replace(body, 'the', 'teh'), 'on', 'o') AS body FROM old),
+      s AS (SELECT n.item_id AS new_id, o.item_id AS old_id, CASE WHEN n.body = o.body THEN 1.0::DOUBLE WHEN length(n.body) * length(o.body) = 0 THEN 0.0::DOUBLE
+        ELSE 1.0::DOUBLE - levenshtein(n.body, o.body)::DOUBLE / greatest(length(n.body), length(o.body))::DOUBLE END AS similarity FROM new n, old o)
+    SELECT new_id, old_id, round(similarity, 9) AS similarity FROM s WHERE similarity >= 0.75::DOUBLE""",
+)
+def match_levenshtein_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole benchmark texts (one-byte letters) against a misspelt copy of each."""
+    old = benchmark(spark, sf).withColumn("body", F.regexp_replace("body", r"[^\x00-\x7F]", ""))
+    misspelt = F.replace(F.replace("body", F.lit("the"), F.lit("teh")), F.lit("on"), F.lit("o"))
+    new = old.withColumn("body", misspelt).withColumn("file_path", F.concat(F.lit("new/"), "file_path"))
+    found = match_units(old, new_units=new, measure="levenshtein_norm", thresholds=ThresholdConfig(0.75))
+    return found.select("new_id", "old_id", F.round("similarity", 9).alias("similarity"))
+
+
+@query(
+    "match_null_bodies",
+    f"""WITH {DOCUMENTS_SQL}, {thresholds_sql("docs")}, present AS (SELECT * FROM docs WHERE unit_id % 7 <> 3), {jaccard_sql("present", "present")}
+    SELECT 'matched' AS what, count(*) AS n FROM matches UNION ALL SELECT 'body is missing', count(*) FROM docs WHERE unit_id % 7 = 3""",
+)
+def match_null_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Units without a body are told apart by `validate_units` and match nothing."""
+    units = documents(spark, sf).withColumn("body", F.expr("CASE WHEN unit_id % 7 <> 3 THEN body END"))
+    _, bad = validate_units(units)
+    found = match_units(units, thresholds=CONFIG).agg(F.lit("matched").alias("what"), F.count("*").alias("n"))
+    return found.unionByName(bad.groupBy(F.col("error").alias("what")).agg(F.count("*").alias("n")))
+
+
+@query(
+    "check_changes",
+    f"""WITH {DOCUMENTS_SQL}, {thresholds_sql("docs", 0.6, "('none', 1.0::DOUBLE, 0)")},
+      changed AS (SELECT docs.* FROM docs JOIN labels ON unit_id = doc_id WHERE 1 + doc_id * 7 % 12 <= line_end), {jaccard_sql("changed", "docs")}
+    SELECT count(*) > 0 AS duplicates_found, count(*) AS match_count, count(*) > 0 AS failed FROM matches WHERE similarity >= 0.8""",
+)
+def q_check_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """From a list of changed lines (one in each labelled document) to the gate: touched units, matches, decision."""
+    docs = documents(spark, sf)
+    changed = table(spark, sf, "labels").select(F.col("doc_id").alias("unit_id"), (1 + F.col("doc_id") * 7 % 12).cast("int").alias("line"))
+    lines = docs.join(changed, "unit_id").select("file_path", "line")
+    found = match_units(docs, new_units=touched_units(docs, lines), thresholds=ThresholdConfig(0.6))
+    return gate(found, min_confidence="High")
+
+
 @query("folder_threshold", f"WITH {DOCUMENTS_SQL}, {thresholds_sql('docs')} SELECT unit_id, file_path, t AS threshold FROM docs JOIN thr USING (file_path)")
 def q_folder_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("unit_id", "file_path", folder_threshold("file_path", CONFIG).alias("threshold"))
 
 
-_SOURCE_RULES = """SELECT source || '/' AS folder, round(0.3 + 0.6 * (max(n_chars) % 100) / 100.0, 2)::DOUBLE AS threshold,
-  0 AS pos FROM documents GROUP BY source UNION ALL SELECT source || '/' || lang, 0.95::DOUBLE, 1 FROM documents
-  GROUP BY source, lang HAVING count(*) > 20"""
-
-
 @query(
     "folder_threshold_table",
     f"""WITH {DOCUMENTS_SQL}, rules AS ({_SOURCE_RULES}), hits AS (SELECT unit_id, threshold, row_number() OVER (
@@ -146,6 +207,18 @@ _SOURCE_RULES = """SELECT source || '/' AS folder, round(0.3 + 0.6 * (max(n_char
 )
 def q_folder_threshold_table(spark: SparkSession, sf: str) -> DataFrame:
     """The same look-up against a threshold table instead of a short map."""
+    found = folder_threshold_table(documents(spark, sf), source_rules(spark, sf), 0.7)
+    return found.select("unit_id", "file_path", "threshold")
+
+
+@query("match_folder_table", f"WITH {DOCUMENTS_SQL}, {thresholds_sql('docs', table_sql=_SOURCE_RULES)}, {jaccard_sql('docs', 'docs')} {SELECT}")
+def match_folder_table(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents against all documents, each path with its threshold from a table."""
+    return match_units(documents(spark, sf), thresholds=source_rules(spark, sf)).select(*COLUMNS)
+
+
+def source_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """(folder, threshold, pos): one folder per source, and one for each language of a source with over 20 documents."""
     docs = table(spark, sf, "documents")
     by_source = docs.groupBy("source").agg(F.max("n_chars").alias("m")).select(
         F.concat("source", F.lit("/")).alias("folder"),
@@ -154,8 +227,7 @@ def q_folder_threshold_table(spark: SparkSession, sf: str) -> DataFrame:
     by_lang = docs.groupBy("source", "lang").agg(F.count("*").alias("n")).filter("n > 20").select(
         F.concat_ws("/", "source", "lang").alias("folder"), F.lit(0.95).alias("threshold"), F.lit(1).alias("pos")
     )
-    found = folder_threshold_table(documents(spark, sf), by_source.unionByName(by_lang), 0.7)
-    return found.select("unit_id", "file_path", "threshold")
+    return by_source.unionByName(by_lang)
 
 
 @query(

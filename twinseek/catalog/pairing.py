@@ -32,7 +32,7 @@ def index_sql(units: str, counts: str = "counts") -> str:
     m2 AS (SELECT *, sum(n * start) {run} - n * start AS cross_from, sum(same) {run} - same AS same_from FROM m1),
     numbered AS (SELECT u.*, m2.start + row_number() OVER (PARTITION BY u.module ORDER BY md5('42:' || unit_key), unit_key) - 1 AS number
       FROM {units} u JOIN m2 USING (module)),
-    {counts} AS (SELECT sum(same) AS t, sum(n * start) AS f FROM m2)"""
+    {counts} AS (SELECT sum(same) AS t, sum(n * start) AS f, sum(n) AS u FROM m2)"""
 
 
 def draw_sql(k: str, size: str, counts: str = "counts") -> str:
@@ -61,9 +61,14 @@ def q_same_group_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return same_group_pairs(turn_index(spark, sf)).select(*KEYS)
 
 
-@query("cross_group_pairs", f"WITH {TURNS_SQL} SELECT {PAIR_FIELDS}, FALSE AS clone FROM turns x JOIN turns y ON x.module < y.module")
+@query(
+    "cross_group_pairs",
+    f"""WITH {TURNS_SQL}, {index_sql('turns')}, {draw_sql('least(8 * u, f)', 'f')}, {DRAWN_CROSS_SQL}
+      SELECT x.module AS source_module1, x.unit_key AS unit_key1, y.module AS source_module2, y.unit_key AS unit_key2, FALSE AS clone FROM drawn_pairs""",
+)
 def q_cross_group_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return cross_group_pairs(turn_index(spark, sf)).select(*KEYS)
+    """Eight drawn pairs per turn; the whole pool has quadratically many."""
+    return cross_group_pairs(turn_index(spark, sf), 8 * turns(spark, sf).count()).select(*KEYS)
 
 
 # Clones are the smaller class here: all are taken, and as many non-clones for a share of 0.5.
@@ -107,11 +112,17 @@ def q_pair_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "pair_quality",
-    f"""{_TEXT_PAIRS} SELECT DISTINCT md5(func1) AS a, md5(func2) AS b, clone FROM p WHERE least(length(func1), length(func2)) >= 100
-      AND greatest(length(func1), length(func2)) <= 1000""",
+    f"""{_TEXT_PAIRS}, both_labels AS (SELECT func1, func2, clone FROM p UNION ALL SELECT func2, func1, FALSE FROM p
+      UNION ALL SELECT func1, func2, FALSE FROM p WHERE length(func1) % 3 = 0)
+    SELECT md5(func1) AS a, md5(func2) AS b, min(clone) AS clone FROM both_labels WHERE least(length(func1), length(func2)) >= 100
+      AND greatest(length(func1), length(func2)) <= 1000 GROUP BY func1, func2 HAVING min(clone) = max(clone)""",
 )
 def q_pair_quality(spark: SparkSession, sf: str) -> DataFrame:
-    kept = pair_quality(same_group_pairs(turn_index(spark, sf)), min_length=100, max_length=1000, exclude_trivial=False)
+    """Clones, the same texts the other way round as non-clones, and some clones labelled both ways, which have to go."""
+    clones = same_group_pairs(turn_index(spark, sf)).select("func1", "func2", "clone")
+    swapped = clones.select(F.col("func2").alias("func1"), F.col("func1").alias("func2"), F.lit(False).alias("clone"))
+    doubtful = clones.filter(F.length("func1") % 3 == 0).withColumn("clone", F.lit(False))
+    kept = pair_quality(clones.unionByName(swapped).unionByName(doubtful), 100, 1000, exclude_trivial=False)
     return kept.select(F.md5("func1").alias("a"), F.md5("func2").alias("b"), "clone")
 
 
@@ -139,6 +150,18 @@ def q_load_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("source_module1", F.md5("func1").alias("a"), F.md5("func2").alias("b"), "clone")
 
 
+@query("load_pairs_arrays", f"{_TEXT_PAIRS} SELECT source_module1, md5(func1) AS a, md5(func2) AS b, clone FROM p")
+def q_load_pairs_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs in files that each hold one JSON array, of some hundred pairs."""
+    path = scratch_path(spark, "pair-arrays")
+    pairs = same_group_pairs(turn_index(spark, sf)).withColumn("_file", F.pmod(F.xxhash64("source_module1"), F.lit(64)))
+    rows = F.array_join(F.collect_list(F.to_json(F.struct("func1", "func2", "clone", "source_module1"))), ",")
+    arrays = pairs.groupBy("_file").agg(F.concat(F.lit("["), rows, F.lit("]")).alias("value"))
+    arrays.write.partitionBy("_file").text(path)
+    back = load_pairs(spark, f"{path}/*")
+    return back.select("source_module1", F.md5("func1").alias("a"), F.md5("func2").alias("b"), "clone")
+
+
 @query("sample_modules", f"WITH {TURNS_SQL} SELECT module FROM (SELECT DISTINCT module FROM turns) ORDER BY md5('42:' || module), module LIMIT 50")
 def q_sample_modules(spark: SparkSession, sf: str) -> DataFrame:
     return sample_modules(turns(spark, sf), 50, 42)

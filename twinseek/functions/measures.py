@@ -36,7 +36,9 @@ def jaccard_of_sets(a: Column, b: Column) -> Column:
 
 
 def jaccard_score(a: Column, b: Column) -> Column:
-    return jaccard_of_sets(token_set(a), token_set(b))
+    # In a one-element array each token set is made once, however often the score names it.
+    sets = F.array(F.struct(token_set(a).alias("a"), token_set(b).alias("b")))
+    return F.transform(sets, lambda s: jaccard_of_sets(s["a"], s["b"]))[0]
 
 
 def levenshtein_score(a: Column, b: Column) -> Column:
@@ -237,7 +239,7 @@ MEASURES = {
 
 def get_measure(name: str) -> Measure:
     if name not in MEASURES:
-        raise ValueError(f"Unknown similarity method '{name}'. Available methods: {', '.join(MEASURES)}")
+        raise ValueError(f"no measure is called {name!r}; there are {', '.join(sorted(MEASURES))}")
     return MEASURES[name]
 
 

@@ -8,18 +8,22 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinseek.functions.measures import Measure, get_measure
 from twinseek.functions.text import token_set
 from twinseek.operators.overlap import overlap_pairs
-from twinseek.operators.thresholds import ThresholdConfig, folder_threshold
+from twinseek.operators.thresholds import DEFAULT_THRESHOLD, ThresholdConfig, folder_threshold, folder_threshold_table
 from twinseek.plans.layout import lookup_join, spread
 from twinseek.schema import confidence
 from twinseek.session import materialize
 
 BLOCK_ROWS = 1024
+# Rows with whole texts that a broadcast may hold.
+TEXT_ROWS = 10_000
 MATCH_COLUMNS = [
     "new_id", "new_path", "new_name", "new_line_start", "new_line_end",
     "old_id", "old_path", "old_name", "old_line_start", "old_line_end",
@@ -145,26 +149,43 @@ def _expanded(pairs: DataFrame, units: DataFrame, classes: DataFrame, total: int
     return out.filter(exclude_self()).withColumn("confidence", confidence(F.col("similarity")))
 
 
+def with_texts(matches: DataFrame, units: DataFrame, new_units: DataFrame | None = None) -> DataFrame:
+    """`matches` with signature and body of both sides, for reports.
+
+    Ids that stand in very many matches are split by `lookup_join`, so no key gathers them in one task.
+    """
+    total = matches.count()
+    for side, source in (("new", units if new_units is None else new_units), ("old", units)):
+        held = matches.groupBy(f"{side}_id").agg(F.count("*").alias("_rows"))
+        texts = source.select(F.col("unit_id").alias(f"{side}_id"), F.col("signature").alias(f"{side}_signature"), F.col("body").alias(f"{side}_body"))
+        heavy = materialize(held.join(texts, f"{side}_id"), "match-texts")
+        matches = lookup_join(matches, heavy, [f"{side}_id"], "_rows", total, TEXT_ROWS).drop("_rows")
+    return matches
+
+
 def match_units(
     corpus: DataFrame,
     new_units: DataFrame | None = None,
     changed_paths: DataFrame | None = None,
     measure: str = "jaccard_tokens",
-    thresholds: ThresholdConfig | None = None,
+    thresholds: ThresholdConfig | DataFrame | None = None,
     allow_wide: bool = False,
+    global_threshold: float = DEFAULT_THRESHOLD,
 ) -> DataFrame:
     """Directed matches (new unit, existing unit) whose score reaches the stricter threshold of the two paths.
 
     The new side is `new_units` (another table), or the corpus units under `changed_paths`, or the whole corpus. Units
-    need a BIGINT `unit_id`, see `number_units`. Low thresholds let almost every pair through for the text measures
-    and have to be requested with `allow_wide`.
+    need a BIGINT `unit_id`, see `number_units`. `thresholds` may be a table (folder, threshold, pos) of any size; other
+    paths then have `global_threshold`. Units without a body (NULL) have nothing to compare and match nothing:
+    `validate_units` tells them apart. Low thresholds make the text measures compare almost every pair; a warning says so
+    unless `allow_wide` is set.
     """
-    m, config = get_measure(measure), thresholds or ThresholdConfig()
-    values = config.possible_values()
-    if min(values) < m.wide_below and not allow_wide:
-        raise ValueError(f"threshold {min(values)} makes {measure} compare almost all pairs; pass allow_wide=True")
-
-    flagged = spread(_flagged(corpus, new_units, changed_paths)).withColumn("t", folder_threshold("file_path", config))
+    m = get_measure(measure)
+    flagged = spread(_flagged(corpus, new_units, changed_paths)).filter("body IS NOT NULL")
+    if isinstance(thresholds, DataFrame):
+        flagged = folder_threshold_table(flagged, thresholds, global_threshold).withColumnRenamed("threshold", "t")
+    else:
+        flagged = flagged.withColumn("t", folder_threshold("file_path", thresholds or ThresholdConfig()))
     payload = token_set("body") if m.by_tokens else F.col("body")
     key = F.sha2(F.to_json(F.sort_array("payload")) if m.by_tokens else F.col("payload"), 256)
     units = materialize(
@@ -181,18 +202,20 @@ def match_units(
         "classes",
     )
     n = units.count()
-    found = _equal_features(classes, len(values) > 1)
-    positive = [v for v in values if v > 0]
-    if positive and min(positive) < 1.0:
+    in_use = classes.agg(F.min("t").alias("low"), F.max("t").alias("high"), F.min(F.when(F.col("t") > 0, F.col("t"))).alias("floor")).first()
+    if in_use.low is not None and in_use.low < m.wide_below and not allow_wide:
+        warnings.warn(f"threshold {in_use.low} makes {measure} compare almost all pairs", stacklevel=2)
+    found = _equal_features(classes, in_use.low != in_use.high)
+    if in_use.floor is not None and in_use.floor < 1.0:
         everything_new = new_units is None and changed_paths is None
-        candidates = overlap_pairs(classes, m, min(positive), everything_new)
+        candidates = overlap_pairs(classes, m, in_use.floor, everything_new)
         if m.symmetric:
             scored = _scored(candidates, classes, m, "small_cid", "large_cid")
             directed = _oriented(scored, "threshold", "similarity")
         else:
             directed = _scored(_oriented(candidates, "threshold"), classes, m, "new_cid", "old_cid")
         found = found.unionByName(directed)
-    if min(values) == 0:
+    if in_use.low == 0:
         found = found.unionByName(_zero_threshold(classes, m))
     small_units = units.drop("payload")
     return _expanded(found, small_units, classes, n).select(*MATCH_COLUMNS)

@@ -10,7 +10,7 @@ from twinseek.operators.changes import touched_units
 from twinseek.operators.evaluate import ranked_strategies, score_pairs, strategy_metrics
 from twinseek.operators.extract import extract_functions, number_units
 from twinseek.operators.filters import filter_units
-from twinseek.operators.match import match_units
+from twinseek.operators.match import match_units, with_texts
 from twinseek.operators.pairs import PairIndex, balanced_sample, index_units, to_pair_table
 from twinseek.operators.thresholds import ThresholdConfig
 from twinseek.session import materialize
@@ -45,11 +45,7 @@ def check_changes(
         matches = match_units(units, new_units=new, measure=measure, thresholds=thresholds, allow_wide=allow_wide)
     matches = materialize(matches, "matches")
     if report_path:
-        bodies = units.select("unit_id", "signature", "body")
-        for side in ("new", "old"):
-            named = bodies.toDF(f"{side}_id", f"{side}_signature", f"{side}_body")
-            matches = matches.join(named, f"{side}_id")
-        write_report(matches, report_path)
+        write_report(with_texts(matches, units), report_path)
     return matches
 
 

@@ -59,14 +59,15 @@ def unit_metrics(units: DataFrame) -> DataFrame:
     )
 
 
-def unit_error() -> Column:
-    """Text of the first broken row rule, NULL for a valid unit."""
+def unit_error(with_body: bool = False) -> Column:
+    """Text of the first broken row rule, NULL for a valid unit; `with_body` also asks for a body."""
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     return (
         F.when(blank("name"), "name is empty")
         .when(blank("file_path"), "file path is empty")
         .when(F.col("line_start").isNull() | (F.col("line_start") <= 0), "line start is not positive")
         .when(F.col("line_end").isNull() | (F.col("line_end") < F.col("line_start")), "line end precedes line start")
+        .when(F.col("body").isNull() if with_body else F.lit(False), "body is missing")
     )
 
 
@@ -78,8 +79,8 @@ def match_error() -> Column:
 
 
 def validate_units(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid units, quarantined units with `error`)."""
-    checked = units.withColumn("error", unit_error())
+    """(valid units, quarantined units with `error`). Where units have a body, it must not be NULL."""
+    checked = units.withColumn("error", unit_error("body" in units.columns))
     return checked.filter("error IS NULL").drop("error"), checked.filter("error IS NOT NULL")
 
 
@@ -96,9 +97,12 @@ def unit_struct(prefix: str, extra: tuple[str, ...] = ("signature", "body")) ->
     return F.struct(*fields, (end - start + 1).alias("line_count"))
 
 
-def match_record(matches: DataFrame, with_body: bool = False) -> DataFrame:
-    """One nested record per match: both units, the score and its confidence bucket."""
-    extra = ("signature", "body") if with_body else ()
+def match_record(matches: DataFrame) -> DataFrame:
+    """One nested record per match: both units, the score and its confidence bucket.
+
+    Signature and body of both sides are part of it if `matches` has them, see `with_texts`.
+    """
+    extra = tuple(c for c in ("signature", "body") if {f"new_{c}", f"old_{c}"} <= {*matches.columns})
     return matches.select(
         unit_struct("new", extra).alias("new_function"),
         unit_struct("old", extra).alias("existing_function"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -36,13 +37,16 @@ def build_session(app_name: str = "twinseek", master: str | None = None, **conf:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by `spark.checkpoint.dir`.
 
-    Only when the setting is absent (tests, one machine) is a temporary folder made, and then remembered
-    in the session so that all later tables of this session land in it.
+    Where it is absent, a session on one machine gets a temporary folder, remembered in the session so that all later
+    tables land in it. On a cluster every executor would write to a disk of its own, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("twinseek.scratch.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder all executors share; the master is {master!r}")
         root = "file://" + tempfile.mkdtemp(prefix="twinseek-")
         spark.conf.set("twinseek.scratch.dir", root)
     return root

@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from twinseek.operators.report import match_summary, top_matches
 from twinseek.schema import PAIR_SCHEMA, match_record
+from twinseek.session import materialize
 
 REQUIRED_PAIR_COLUMNS = ("func1", "func2", "clone")
 
 
 def load_pairs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Labelled pairs from a JSON array file (or JSON lines with ``multi_line=False``)."""
+    """Labelled pairs from JSON array files (or JSON lines with ``multi_line=False``).
+
+    A JSON array can only be read as a whole: one file is one task and has to fit its memory, so keep array files under
+    about 100 MB and give many of them. JSON lines are split like any text.
+    """
     pairs = spark.read.option("multiLine", multi_line).json(path)
     missing = [c for c in REQUIRED_PAIR_COLUMNS if c not in pairs.columns]
     if missing:
@@ -43,22 +48,31 @@ def write_pairs(pairs: DataFrame, path: str, file_format: str = "json", mode: st
 
 
 def report_document(matches: DataFrame, top: int) -> DataFrame:
-    """One row with one JSON document: summary, statistics and the best `top` matches."""
+    """One row with one JSON document: summary, statistics, the best `top` matches and how many are left out.
+
+    A single document is a single row: `top` bounds it. The whole report is what `write_report` writes.
+    """
     best = match_record(top_matches(matches, top)).agg(F.collect_list(F.struct("*")).alias("matches"))
     summary = match_summary(matches).select(
         F.struct("total_matches", "high_confidence_matches", F.lit(True).alias("analysis_complete")).alias("summary"),
         F.struct("confidence_distribution", "avg_similarity_score").alias("statistics"),
+        F.greatest(F.lit(0), F.col("total_matches") - top).alias("matches_left_out"),
     )
     one = F.lit(1).alias("_one")
     both = summary.select("*", one).join(best.select("*", one), "_one")
-    return both.select(F.to_json(F.struct("summary", "matches", "statistics")).alias("document"))
+    return both.select(F.to_json(F.struct("summary", "matches", "matches_left_out", "statistics")).alias("document"))
+
 
+def write_report(matches: DataFrame, path: str, top: int | None = None, mode: str = "errorifexists") -> None:
+    """The whole report: all matches as JSON lines and a one-row summary; with `top`, also one document of the best ones.
 
-def write_report(matches: DataFrame, path: str, top: int = 1000, mode: str = "errorifexists") -> None:
-    """All matches as JSON lines, a one-row summary, and one document with the best `top` matches."""
-    match_record(matches).write.mode(mode).json(f"{path}/matches")
-    match_summary(matches).write.mode(mode).json(f"{path}/summary")
-    report_document(matches, top).write.mode(mode).text(f"{path}/document")
+    The matches are computed once. Signature and body of both sides are written if `matches` has them.
+    """
+    stored = materialize(matches, "report")
+    match_record(stored).write.mode(mode).json(f"{path}/matches")
+    match_summary(stored).write.mode(mode).json(f"{path}/summary")
+    if top is not None:
+        report_document(stored, top).write.mode(mode).text(f"{path}/document")
 
 
 def write_metrics(metrics: DataFrame, path: str, mode: str = "errorifexists") -> None:
