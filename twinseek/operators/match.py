@@ -4,24 +4,30 @@
    scored once, however many copies it has.
 2. Classes with equal features score 1.0; other class pairs come from the overlap join and are scored exactly.
 3. Class pairs are expanded to unit pairs block by block, so that a class of many copies is spread over many tasks.
+
+A corpus can be indexed once (`build_index`) and asked for any number of new tables (`match_index`).
 """
 
 from __future__ import annotations
 
 import warnings
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinseek.functions.measures import Measure, get_measure
 from twinseek.functions.text import token_set
-from twinseek.operators.overlap import overlap_pairs
+from twinseek.operators.overlap import overlap_pairs, prefixes, rarity_table
 from twinseek.operators.thresholds import DEFAULT_THRESHOLD, ThresholdConfig, folder_threshold, folder_threshold_table
-from twinseek.plans.layout import lookup_join, spread
+from twinseek.plans.layout import BROADCAST_ROWS, hub_join, lookup_join, spread
 from twinseek.schema import confidence
 from twinseek.session import materialize
 
 BLOCK_ROWS = 1024
+# Candidate pairs of texts that one task scores.
+PAIRS_PER_TASK = 5_000
 # Rows with whole texts that a broadcast may hold.
 TEXT_ROWS = 10_000
 MATCH_COLUMNS = [
@@ -36,82 +42,125 @@ def exclude_self() -> Column:
     return ~((F.col("new_path") == F.col("old_path")) & (F.col("new_name") == F.col("old_name")))
 
 
-def _flagged(corpus: DataFrame, new_units: DataFrame | None, changed_paths: DataFrame | None) -> DataFrame:
+Thresholds = ThresholdConfig | DataFrame
+
+
+@dataclass(frozen=True)
+class CorpusIndex:
+    """A corpus prepared once for any number of new tables: its units, classes and rare-first prefixes, all written.
+
+    The order of features is frozen with the index. Features that only new units have come first in it and meet nothing.
+    """
+
+    measure: Measure
+    thresholds: Thresholds
+    global_threshold: float
+    units: DataFrame
+    classes: DataFrame
+    rows: int
+    lowest: float | None
+    highest: float | None
+    floor: float
+    rarity: np.ndarray
+    prefix: DataFrame
+
+
+def _classes(units: DataFrame, m: Measure, thresholds: Thresholds, global_threshold: float, side: int) -> tuple[DataFrame, DataFrame]:
+    """(units with class key and threshold, classes). `side` keeps the class ids of two tables apart."""
     columns = ["unit_id", "file_path", "name", "line_start", "line_end", "body"]
-    old = corpus.select(*columns)
-    if new_units is not None:
-        # Two tables may use the same ids: the side becomes part of the internal id.
-        a = new_units.select(*columns, (F.col("unit_id") * 2 + 1).alias("uid"), F.lit(True).alias("is_new"), F.lit(False).alias("is_old"))
-        b = old.select("*", (F.col("unit_id") * 2).alias("uid"), F.lit(False).alias("is_new"), F.lit(True).alias("is_old"))
-        return a.unionByName(b)
-    old = old.withColumn("uid", F.col("unit_id")).withColumn("is_old", F.lit(True))
-    if changed_paths is None:
-        return old.withColumn("is_new", F.lit(True))
-    changed = changed_paths.select("file_path").distinct().withColumn("_changed", F.lit(True))
-    return (
-        old.join(changed, "file_path", "left")
-        .withColumn("is_new", F.coalesce("_changed", F.lit(False)))
-        .drop("_changed")
+    rows = spread(units.select(*columns, (F.col("unit_id") * 2 + side).alias("uid"))).filter("body IS NOT NULL")
+    if isinstance(thresholds, DataFrame):
+        rows = folder_threshold_table(rows, thresholds, global_threshold).withColumnRenamed("threshold", "t")
+    else:
+        rows = rows.withColumn("t", folder_threshold("file_path", thresholds))
+    payload = token_set("body") if m.by_tokens else F.col("body")
+    key = F.sha2(F.to_json(F.sort_array("payload")) if m.by_tokens else F.col("payload"), 256)
+    stored = materialize(rows.withColumn("payload", payload).withColumn("set_key", key).drop("body"), "units")
+    classes = stored.groupBy("set_key", "t").agg(
+        F.min("uid").alias("cid"), F.count("*").alias("members"), F.first("payload").alias("payload")
     )
+    size = F.size("payload") if m.by_tokens else F.length("payload")
+    return stored.drop("payload"), materialize(classes.withColumn("size", size), "classes")
 
 
-def _oriented(pairs: DataFrame, *carry: str) -> DataFrame:
-    """Directed (new class, existing class) rows of unordered class pairs."""
-    directed = F.array_compact(
-        F.array(
-            F.when(F.col("small_is_new") & F.col("large_is_old"),
-                   F.struct(F.col("small_cid").alias("new_cid"), F.col("large_cid").alias("old_cid"))),
-            F.when(F.col("large_is_new") & F.col("small_is_old"),
-                   F.struct(F.col("large_cid").alias("new_cid"), F.col("small_cid").alias("old_cid"))),
-        )
-    )
-    return pairs.select(F.explode(directed).alias("d"), *carry).select("d.new_cid", "d.old_cid", *carry)
+def _least_positive(thresholds: Thresholds, global_threshold: float) -> float:
+    """The smallest threshold above 0 that any path can have, 1 if there is none."""
+    if isinstance(thresholds, DataFrame):
+        found = [thresholds.agg(F.min(F.when(F.col("threshold") > 0, F.col("threshold"))).alias("t")).first().t, global_threshold]
+    else:
+        found = [thresholds.global_threshold, *[v for _, v in thresholds.ranked_folders()]]
+    return min((float(v) for v in found if v), default=1.0)
 
 
-def _scored(pairs: DataFrame, classes: DataFrame, measure: Measure, a: str, b: str) -> DataFrame:
-    """Adds the exact score of the class pairs and keeps those that reach their threshold.
+def build_index(
+    corpus: DataFrame,
+    measure: str = "jaccard_tokens",
+    thresholds: Thresholds | None = None,
+    allow_wide: bool = False,
+    global_threshold: float = DEFAULT_THRESHOLD,
+) -> CorpusIndex:
+    """Index of a corpus for `match_index`; the arguments are those of `match_units`."""
+    m, thresholds = get_measure(measure), ThresholdConfig() if thresholds is None else thresholds
+    units, classes = _classes(corpus, m, thresholds, global_threshold, 0)
+    in_use = classes.agg(F.min("t").alias("low"), F.max("t").alias("high")).first()
+    if in_use.low is not None and in_use.low < m.wide_below and not allow_wide:
+        warnings.warn(f"threshold {in_use.low} makes {measure} compare almost all pairs", stacklevel=2)
+    # A pair needs the stricter of two thresholds. Unless the corpus has zeros, its own smallest one is therefore safe.
+    floor = in_use.low if in_use.low else _least_positive(thresholds, global_threshold)
+    rarity = rarity_table(classes, m, floor)
+    prefix = materialize(prefixes(classes, m, floor, rarity), "prefix")
+    return CorpusIndex(m, thresholds, global_threshold, units, classes, units.count(), in_use.low, in_use.high, floor, rarity, prefix)
+
 
-    Classes with equal features (same set, other threshold) are left to `_equal_features`.
+def _scored(pairs: DataFrame, new: DataFrame, old: DataFrame, measure: Measure) -> DataFrame:
+    """Adds the exact score of class pairs (new_cid, old_cid, threshold) and keeps those that reach their threshold.
+
+    Classes with equal features are left to `_equal_features`.
     """
-    left = classes.select(F.col("cid").alias(a), F.col("payload").alias("_a"), F.col("set_key").alias("_ka"))
-    right = classes.select(F.col("cid").alias(b), F.col("payload").alias("_b"), F.col("set_key").alias("_kb"))
-    joined = pairs.join(left, a).join(right, b).filter("_ka <> _kb").drop("_ka", "_kb")
+    left = new.select(F.col("cid").alias("new_cid"), F.col("payload").alias("_a"), F.col("set_key").alias("_ka"))
+    right = old.select(F.col("cid").alias("old_cid"), F.col("payload").alias("_b"), F.col("set_key").alias("_kb"))
+    pairs = materialize(pairs, "candidates")
+    joined = hub_join(hub_join(pairs, left, "new_cid", "old_cid"), right, "old_cid", "new_cid", counted=pairs)
+    joined = joined.filter("_ka <> _kb").drop("_ka", "_kb")
     if measure.possible:
         joined = joined.filter(measure.possible(F.col("_a"), F.col("_b"), F.col("threshold")))
     if not measure.by_tokens:
-        # Scoring one pair of long texts is slow: spread the pairs evenly, those of one second text in a
-        # few runs. The stated count keeps few pairs apart.
-        parts = int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        joined = joined.repartition(parts, F.col(b), F.pmod(F.xxhash64(a), F.lit(8))).sortWithinPartitions(b)
+        # Scoring one pair of long texts is slow: spread the pairs evenly, those of one second text in a few runs. The
+        # number of tasks follows the number of pairs, since their bytes say little about the work.
+        n = pairs.count()
+        cores = joined.sparkSession.sparkContext.defaultParallelism
+        runs = F.pmod(F.xxhash64("new_cid"), F.lit(8 + n // PAIRS_PER_TASK))
+        joined = joined.repartition(max(cores, n // PAIRS_PER_TASK + 1), "old_cid", runs).sortWithinPartitions("old_cid")
     # A generated column is computed once; a plain one would be computed again inside the filter.
     once = F.explode(F.array(measure.score_above(F.col("_a"), F.col("_b"), F.col("threshold"))))
     return joined.withColumn("similarity", once).drop("_a", "_b").filter(F.col("similarity") >= F.col("threshold"))
 
 
-def _equal_features(classes: DataFrame, several_thresholds: bool) -> DataFrame:
-    """Class pairs with the same features, including a class with itself."""
-    inside = classes.filter("is_new AND is_old AND members > 1").select(
-        F.col("cid").alias("new_cid"), F.col("cid").alias("old_cid"), F.col("t").alias("threshold")
-    )
-    out = inside
-    if several_thresholds:
-        a = classes.filter("is_new").select("set_key", F.col("cid").alias("new_cid"), F.col("t").alias("_ta"))
-        b = classes.filter("is_old").select("set_key", F.col("cid").alias("old_cid"), F.col("t").alias("_tb"))
-        across = a.join(b, "set_key").filter("_ta <> _tb")  # at most one class per threshold value and key
-        out = out.unionByName(across.select("new_cid", "old_cid", F.greatest("_ta", "_tb").alias("threshold")))
-    return out.withColumn("similarity", F.lit(1.0))
+def _both_ways(pairs: DataFrame, *carry: str) -> DataFrame:
+    """(new_cid, old_cid) in both directions for unordered pairs (small_cid, large_cid)."""
+    one = pairs.select(F.col("small_cid").alias("new_cid"), F.col("large_cid").alias("old_cid"), *carry)
+    other = pairs.select(F.col("large_cid").alias("new_cid"), F.col("small_cid").alias("old_cid"), *carry)
+    return one.unionByName(other)
+
 
+def _equal_features(new: DataFrame, old: DataFrame, same_table: bool) -> DataFrame:
+    """Class pairs with the same features; a class of one table meets itself if it has several members."""
+    a = new.select("set_key", F.col("cid").alias("new_cid"), F.col("t").alias("_ta"), "members")
+    b = old.select("set_key", F.col("cid").alias("old_cid"), F.col("t").alias("_tb"))
+    out = a.join(b, "set_key")  # at most one class per threshold value and key on either side
+    if same_table:
+        out = out.filter("new_cid <> old_cid OR members > 1")
+    return out.select("new_cid", "old_cid", F.greatest("_ta", "_tb").alias("threshold"), F.lit(1.0).alias("similarity"))
 
-def _zero_threshold(classes: DataFrame, measure: Measure) -> DataFrame:
+
+def _zero_threshold(new: DataFrame, old: DataFrame, measure: Measure) -> DataFrame:
     """All class pairs whose threshold is 0: every pair counts, so pairs are laid out on a grid of bounded blocks."""
-    free = classes.filter("t = 0")
-    side = max(1, int((free.count() / BLOCK_ROWS) + 1))
+    new, old = new.filter("t = 0"), old.filter("t = 0")
+    side = max(1, int((max(new.count(), old.count()) / BLOCK_ROWS) + 1))
     ids = F.sequence(F.lit(0), F.lit(side - 1))
     own = F.pmod(F.xxhash64("cid"), F.lit(side)).cast("int")
-    a = free.filter("is_new").select(F.col("cid").alias("new_cid"), F.col("set_key").alias("_ka"),
-                                     F.col("payload").alias("_a"), own.alias("_x"), F.explode(ids).alias("_y"))
-    b = free.filter("is_old").select(F.col("cid").alias("old_cid"), F.col("set_key").alias("_kb"),
-                                     F.col("payload").alias("_b"), own.alias("_y"), F.explode(ids).alias("_x"))
+    a = new.select(F.col("cid").alias("new_cid"), F.col("set_key").alias("_ka"), F.col("payload").alias("_a"), own.alias("_x"), F.explode(ids).alias("_y"))
+    b = old.select(F.col("cid").alias("old_cid"), F.col("set_key").alias("_kb"), F.col("payload").alias("_b"), own.alias("_y"), F.explode(ids).alias("_x"))
     pairs = a.join(b, ["_x", "_y"]).filter("_ka <> _kb").withColumn("threshold", F.lit(0.0))
     score = measure.score_above(F.col("_a"), F.col("_b"), F.col("threshold"))
     return pairs.withColumn("similarity", F.coalesce(score, F.lit(0.0))).select(
@@ -119,34 +168,57 @@ def _zero_threshold(classes: DataFrame, measure: Measure) -> DataFrame:
     )
 
 
-def _expanded(pairs: DataFrame, units: DataFrame, classes: DataFrame, total: int) -> DataFrame:
-    """Unit pairs of the class pairs. The members of a class are cut into blocks of about BLOCK_ROWS."""
-    sizes = classes.select("set_key", "t", "cid", "members")
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK_ROWS)).cast("bigint")
-    members = lookup_join(units, sizes, ["set_key", "t"], "members", total).withColumn(
-        "block", F.pmod(F.xxhash64("uid"), blocks)
-    )
-    per_class = classes.select("cid", blocks.alias("blocks"))
+def _expanded(found: DataFrame, new: tuple[DataFrame, DataFrame, int], old: tuple[DataFrame, DataFrame, int]) -> DataFrame:
+    """Unit pairs of class pairs; `new` and `old` are (units, classes, number of units).
 
-    def side(prefix: str, flag: str) -> DataFrame:
-        return members.filter(flag).select(
+    The members of a class are cut into blocks of about BLOCK_ROWS. Both block numbers are on a row before members are
+    joined, so that no join gathers a class, only blocks.
+    """
+    found = materialize(found, "class-matches")
+    blocks = F.ceil(F.col("members") / F.lit(BLOCK_ROWS)).cast("bigint")
+    out = found
+    for prefix, other, (_, classes, _) in (("new", "old", new), ("old", "new", old)):
+        counts = classes.select(F.col("cid").alias(f"{prefix}_cid"), blocks.alias(f"{prefix}_blocks"))
+        out = hub_join(out, counts, f"{prefix}_cid", f"{other}_cid", counted=found)
+    for prefix in ("new", "old"):
+        numbers = F.sequence(F.lit(0).cast("bigint"), F.col(f"{prefix}_blocks") - 1)
+        out = out.withColumn(f"{prefix}_block", F.explode(numbers)).drop(f"{prefix}_blocks")
+    for prefix, (units, classes, total) in (("new", new), ("old", old)):
+        sizes = classes.select("set_key", "t", "cid", "members")
+        members = lookup_join(units, sizes, ["set_key", "t"], "members", total)
+        side = members.select(
             F.col("cid").alias(f"{prefix}_cid"),
-            F.col("block"),
+            F.pmod(F.xxhash64("uid"), blocks).alias(f"{prefix}_block"),
             F.col("unit_id").alias(f"{prefix}_id"),
             F.col("file_path").alias(f"{prefix}_path"),
             F.col("name").alias(f"{prefix}_name"),
             F.col("line_start").alias(f"{prefix}_line_start"),
             F.col("line_end").alias(f"{prefix}_line_end"),
         )
+        out = out.join(side, [f"{prefix}_cid", f"{prefix}_block"]).drop(f"{prefix}_block")
+    return out.filter(exclude_self()).withColumn("confidence", confidence(F.col("similarity"))).select(*MATCH_COLUMNS)
+
+
+def match_index(index: CorpusIndex, new_units: DataFrame) -> DataFrame:
+    """Directed matches of new units with an indexed corpus, as `match_units` finds them.
 
-    out = pairs
-    for prefix, flag in (("new", "is_new"), ("old", "is_old")):
-        count = per_class.select(F.col("cid").alias(f"{prefix}_cid"), "blocks")
-        out = out.join(count, f"{prefix}_cid").withColumn(
-            "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    Only the new units are tokenised; of the corpus, prefixes are read, and the texts of classes that come into question.
+    """
+    m, floor = index.measure, index.floor
+    units, classes = _classes(new_units, m, index.thresholds, index.global_threshold, 1)
+    found = _equal_features(classes, index.classes, False)
+    if floor < 1.0:
+        prefix = materialize(prefixes(classes, m, floor, index.rarity), "prefix")
+        few = (prefix.agg(F.sum(F.size("ordered"))).first()[0] or 0) <= BROADCAST_ROWS // 10  # a posting has about 60 bytes
+        up = overlap_pairs(prefix, index.prefix, m, floor, "all", few="small" if few else None)
+        down = overlap_pairs(index.prefix, prefix, m, floor, "none", few="large" if few else None)
+        pairs = up.select(F.col("small_cid").alias("new_cid"), F.col("large_cid").alias("old_cid"), "threshold").unionByName(
+            down.select(F.col("large_cid").alias("new_cid"), F.col("small_cid").alias("old_cid"), "threshold")
         )
-        out = out.drop("blocks").join(side(prefix, flag), [f"{prefix}_cid", "block"]).drop("block")
-    return out.filter(exclude_self()).withColumn("confidence", confidence(F.col("similarity")))
+        found = found.unionByName(_scored(pairs, classes, index.classes, m))
+    if index.lowest == 0:
+        found = found.unionByName(_zero_threshold(classes, index.classes, m))
+    return _expanded(found, (units, classes, units.count()), (index.units, index.classes, index.rows))
 
 
 def with_texts(matches: DataFrame, units: DataFrame, new_units: DataFrame | None = None) -> DataFrame:
@@ -168,7 +240,7 @@ def match_units(
     new_units: DataFrame | None = None,
     changed_paths: DataFrame | None = None,
     measure: str = "jaccard_tokens",
-    thresholds: ThresholdConfig | DataFrame | None = None,
+    thresholds: Thresholds | None = None,
     allow_wide: bool = False,
     global_threshold: float = DEFAULT_THRESHOLD,
 ) -> DataFrame:
@@ -180,45 +252,25 @@ def match_units(
     `validate_units` tells them apart. Low thresholds make the text measures compare almost every pair; a warning says so
     unless `allow_wide` is set.
     """
-    m = get_measure(measure)
-    flagged = spread(_flagged(corpus, new_units, changed_paths)).filter("body IS NOT NULL")
-    if isinstance(thresholds, DataFrame):
-        flagged = folder_threshold_table(flagged, thresholds, global_threshold).withColumnRenamed("threshold", "t")
-    else:
-        flagged = flagged.withColumn("t", folder_threshold("file_path", thresholds or ThresholdConfig()))
-    payload = token_set("body") if m.by_tokens else F.col("body")
-    key = F.sha2(F.to_json(F.sort_array("payload")) if m.by_tokens else F.col("payload"), 256)
-    units = materialize(
-        flagged.withColumn("payload", payload).withColumn("set_key", key).drop("body"), "units"
-    )
-    classes = materialize(
-        units.groupBy("set_key", "t").agg(
-            F.min("uid").alias("cid"),
-            F.max("is_new").alias("is_new"),
-            F.max("is_old").alias("is_old"),
-            F.count("*").alias("members"),
-            F.first("payload").alias("payload"),
-        ).withColumn("size", F.size("payload") if m.by_tokens else F.length("payload")),
-        "classes",
-    )
-    n = units.count()
-    in_use = classes.agg(F.min("t").alias("low"), F.max("t").alias("high"), F.min(F.when(F.col("t") > 0, F.col("t"))).alias("floor")).first()
-    if in_use.low is not None and in_use.low < m.wide_below and not allow_wide:
-        warnings.warn(f"threshold {in_use.low} makes {measure} compare almost all pairs", stacklevel=2)
-    found = _equal_features(classes, in_use.low != in_use.high)
-    if in_use.floor is not None and in_use.floor < 1.0:
-        everything_new = new_units is None and changed_paths is None
-        candidates = overlap_pairs(classes, m, in_use.floor, everything_new)
+    index = build_index(corpus, measure, thresholds, allow_wide, global_threshold)
+    if new_units is None and changed_paths is not None:
+        new_units = corpus.join(changed_paths.select("file_path").distinct(), "file_path", "left_semi")
+    if new_units is not None:
+        return match_index(index, new_units)
+    m, classes = index.measure, index.classes
+    found = _equal_features(classes, classes, True)
+    if index.floor < 1.0:
+        pairs = overlap_pairs(index.prefix, index.prefix, m, index.floor, "once")
         if m.symmetric:
-            scored = _scored(candidates, classes, m, "small_cid", "large_cid")
-            directed = _oriented(scored, "threshold", "similarity")
+            once = pairs.select(F.col("small_cid").alias("new_cid"), F.col("large_cid").alias("old_cid"), "threshold")
+            scored = _scored(once, classes, classes, m).withColumnsRenamed({"new_cid": "small_cid", "old_cid": "large_cid"})
+            found = found.unionByName(_both_ways(scored, "threshold", "similarity"))
         else:
-            directed = _scored(_oriented(candidates, "threshold"), classes, m, "new_cid", "old_cid")
-        found = found.unionByName(directed)
-    if in_use.low == 0:
-        found = found.unionByName(_zero_threshold(classes, m))
-    small_units = units.drop("payload")
-    return _expanded(found, small_units, classes, n).select(*MATCH_COLUMNS)
+            found = found.unionByName(_scored(_both_ways(pairs, "threshold"), classes, classes, m))
+    if index.lowest == 0:
+        found = found.unionByName(_zero_threshold(classes, classes, m))
+    side = (index.units, classes, index.rows)
+    return _expanded(found, side, side)
 
 
 def rank_order() -> list[Column]:

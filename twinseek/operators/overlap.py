@@ -1,7 +1,7 @@
 """Candidate pairs for a similarity join: an equi-join on rare shared features.
 
-Features of a set are ordered rare first (by the number of sets that hold them, then by hash), the same order for all
-sets. A pair that must share `need` features has its first shared feature among the first ``count - need + 1`` of both
+Features of a set are ordered rare first (by a table of fixed size that tells how many sets hold them, then by hash), the
+same order for all sets; every set orders and cuts its own features, so that only prefixes are shuffled. A pair that must share `need` features has its first shared feature among the first ``count - need + 1`` of both
 sides, so only these prefixes are joined (prefix filter). Sizes, positions and the number of shared prefix features
 then bound the possible overlap of a pair. All bounds are safe: no pair that reaches its threshold is lost. The caller
 computes the exact score.
@@ -19,41 +19,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinseek.functions.measures import Measure, Tier
-from twinseek.plans.layout import KEY_ROWS, lookup_join
-from twinseek.session import materialize
+from twinseek.plans.layout import KEY_ROWS
 
 ROUNDING = 1e-6
 HASH_BITS = 50
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd multipliers of the gram hash
 # Rarity is kept as log2 of the holders in steps of 1/64: exact for rare features, within about 1 % for common ones.
 RARITY_STEPS = 64
+# Features are counted by bucket of their hash.
+BUCKETS = 1 << 20
 # Grams of this length are rare enough to join all of them, which makes the shared count exact.
 LONG_GRAM = 6
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def gram_hashes(texts: pd.Series, q: pd.Series) -> pd.Series:
-    """Hashes of the character grams of each text; the second, third, ... occurrence of a gram hashes differently.
+def gram_hashes(text: str, size: int) -> np.ndarray:
+    """Hashes of the character grams of a text; the second, third, ... occurrence of a gram hashes differently.
 
     Array arithmetic over the code points of a text; as column functions it takes about ten times as long.
     """
-
-    def hashes(text: str, size: int) -> np.ndarray:
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-        n = max(0, len(codes) - size + 1)
-        grams = np.full(n, size, dtype=np.uint64)
-        for i in range(size):
-            grams = (grams ^ codes[i : i + n]) * MIX
-            grams ^= grams >> np.uint64(29)
-        grams.sort()
-        place = np.arange(n, dtype=np.uint64)
-        first = np.ones(n, dtype=bool)
-        first[1:] = grams[1:] != grams[:-1]
-        nth = place - np.maximum.accumulate(np.where(first, place, 0).astype(np.uint64))
-        mixed = (grams ^ (nth * STEP)) * MIX
-        return (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
-
-    return pd.Series([hashes(t, n) for t, n in zip(texts, q)])
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    n = max(0, len(codes) - size + 1)
+    grams = np.full(n, size, dtype=np.uint64)
+    for i in range(size):
+        grams = (grams ^ codes[i : i + n]) * MIX
+        grams ^= grams >> np.uint64(29)
+    grams.sort()
+    place = np.arange(n, dtype=np.uint64)
+    first = np.ones(n, dtype=bool)
+    first[1:] = grams[1:] != grams[:-1]
+    nth = place - np.maximum.accumulate(np.where(first, place, 0).astype(np.uint64))
+    mixed = (grams ^ (nth * STEP)) * MIX
+    return (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _gram_buckets(texts: pd.Series, q: pd.Series) -> pd.Series:
+    return pd.Series([(gram_hashes(t, n) & (BUCKETS - 1)).astype(np.int32) for t, n in zip(texts, q)])
 
 
 def _by_tier(tiers: list[Tier], value: str) -> Column:
@@ -76,32 +77,36 @@ def _tiers_of(size: Column, tiers: list[Tier], measure: Measure, floor: float) -
     return F.array_compact(F.array(*picks))
 
 
-def features(classes: DataFrame, measure: Measure, tiers: list[Tier], floor: float) -> DataFrame:
-    """(cid, q, h): the hashed features of every class."""
+def _listed(classes: DataFrame, measure: Measure, tiers: list[Tier], floor: float) -> DataFrame:
+    """`classes` with `q`, one row for each gram length a class needs, and `m`, how many features it has."""
     if measure.by_tokens:
-        return classes.select("cid", F.lit(tiers[0].q).alias("q"), F.explode("payload").alias("x")).select(
-            "cid", "q", F.xxhash64("x").alias("h")
-        )
-    tier = F.explode(_tiers_of(F.col("size"), tiers, measure, floor)).alias("q")
-    return classes.select("cid", "payload", tier).select("cid", "q", F.explode(gram_hashes("payload", "q")).alias("h"))
-
-
-def _packed(df: Column, h: Column) -> Column:
-    rarity = F.floor(F.log2(df) * RARITY_STEPS).cast("bigint")
-    return F.shiftleft(rarity, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-
-
-def prefixes(classes: DataFrame, measure: Measure, tiers: list[Tier], floor: float) -> DataFrame:
-    """One row per class and tier with its rare-first feature prefix, written once."""
-    rows = materialize(features(classes, measure, tiers, floor), "features")  # read several times below
-    holders = rows.groupBy("h").agg(F.count("*").alias("df"))
-    ordered = (
-        lookup_join(rows, holders, ["h"], "df", rows.count())
-        .select("cid", "q", _packed(F.col("df"), F.col("h")).alias("feature"))
-        .groupBy("cid", "q")
-        .agg(F.sort_array(F.collect_list("feature")).alias("ordered"))
-    )
-    facts = classes.select("cid", "size", "t", "is_new", "is_old").withColumn("t_eff", F.greatest("t", F.lit(floor)))
+        return classes.withColumn("q", F.lit(tiers[0].q)).withColumn("m", F.size("payload"))
+    tier = F.explode(_tiers_of(F.col("size"), tiers, measure, floor))
+    return classes.withColumn("q", tier).withColumn("m", F.greatest(F.lit(0), F.col("size") - F.col("q") + 1))
+
+
+def rarity_table(classes: DataFrame, measure: Measure, floor: float) -> np.ndarray:
+    """How common features are, by bucket of their hash: 0 for none, else 1 + log2 of the holders in steps of 1/64.
+
+    Counts are added up by bucket before they are shuffled, and the table has BUCKETS numbers whatever the input. Features
+    that share a bucket look more common than they are; the order stays one and the same for all sets, which is all the
+    join relies on.
+    """
+    listed = _listed(classes, measure, measure.tiers(floor), floor)
+    if measure.by_tokens:
+        bucket = F.transform("payload", lambda x: F.xxhash64(x).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+    else:
+        bucket = _gram_buckets("payload", "q")
+    counted = listed.select(F.explode(bucket).alias("b")).groupBy("b").agg(F.count("*").alias("n")).toArrow()
+    table = np.zeros(BUCKETS, np.int64)
+    table[counted["b"].to_numpy()] = np.floor(np.log2(counted["n"].to_numpy()) * RARITY_STEPS).astype(np.int64) + 1
+    return table
+
+
+def prefixes(classes: DataFrame, measure: Measure, floor: float, rarity: np.ndarray) -> DataFrame:
+    """One row per class and tier with its rare-first feature prefix. Features are ordered and cut inside the row."""
+    tiers = measure.tiers(floor)
+    rows = _listed(classes, measure, tiers, floor).withColumn("t_eff", F.greatest("t", F.lit(floor)))
     low, q, size, t = _by_tier(tiers, "low"), F.col("q"), F.col("size"), F.col("t_eff")
 
     def prefix_length(pair: tuple[Column, Column]) -> Column:
@@ -110,85 +115,84 @@ def prefixes(classes: DataFrame, measure: Measure, tiers: list[Tier], floor: flo
         longer = F.lit(0) if measure.by_tokens else F.greatest(F.lit(0), F.when(q >= LONG_GRAM, need - 1).otherwise(F.floor(need / 2)))
         return F.greatest(F.lit(0), F.least(F.col("m"), F.col("m") - need + 1 + longer)).cast("int")
 
-    sized = (
-        ordered.join(facts, "cid")
-        .withColumn("m", F.size("ordered"))
-        .withColumn("p_small", prefix_length(measure.worst_small(size, low, t)))
-        .withColumn("p_large", F.when(size >= low, prefix_length(measure.worst_large(size, low, t))).otherwise(F.lit(0)))
+    sized = rows.withColumn("p_small", prefix_length(measure.worst_small(size, low, t))).withColumn(
+        "p_large", F.when(size >= low, prefix_length(measure.worst_large(size, low, t))).otherwise(F.lit(0))
     )
-    kept = sized.withColumn("ordered", F.slice("ordered", F.lit(1), F.greatest("p_small", "p_large")))
-    return materialize(kept.select("cid", "q", "size", "t", "is_new", "is_old", "m", "p_small", "p_large", "ordered"), "prefix")
+    sized = sized.withColumn("keep", F.greatest("p_small", "p_large")).filter("keep > 0")
+    shared, bits = classes.sparkSession.sparkContext.broadcast(rarity), HASH_BITS
+
+    def rarest(hashes: np.ndarray, n: int) -> np.ndarray:
+        packed = shared.value[hashes & (BUCKETS - 1)] << bits | hashes & ((1 << bits) - 1)
+        return np.sort(packed)[:n]
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def of_tokens(hashes: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([rarest(np.asarray(h, np.int64), k) for h, k in zip(hashes, n)])
 
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def of_grams(texts: pd.Series, size: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([rarest(gram_hashes(t, s), k) for t, s, k in zip(texts, size, n)])
 
-def _postings(prefix: DataFrame, role: str, copies: Column, first_copy: bool) -> DataFrame:
-    """Prefix features of one role. Very common features are spread over `copies` keys."""
-    listed = prefix.select(
-        "*", F.posexplode(F.slice("ordered", F.lit(1), F.col(f"p_{role}"))).alias("pos", "feature")
-    ).filter(F.col("feature") >= (1 << HASH_BITS))  # held by two sets at least
-    salt = F.pmod(F.xxhash64("cid"), copies) if first_copy else F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1))
-    names = ["cid", "size", "t", "is_new", "is_old", "m", "pos"]
+    hashed = F.transform("payload", lambda x: F.xxhash64(x))
+    ordered = of_tokens(hashed, "keep") if measure.by_tokens else of_grams("payload", "q", "keep")
+    return sized.select("cid", "q", "size", "t", "m", "p_small", "p_large", ordered.alias("ordered"))
+
+
+def _postings(prefix: DataFrame, role: str, least_holders: int, key_rows: int) -> DataFrame:
+    """Prefix features of one role that enough sets hold.
+
+    Features of many holders are dealt to a square grid of keys: each side is cut into as many parts as the grid is wide,
+    and each part meets every part of the other side once.
+    """
+    least = {1: 1, 2: RARITY_STEPS + 1}[least_holders]
+    listed = prefix.select("*", F.posexplode(F.slice("ordered", F.lit(1), F.col(f"p_{role}"))).alias("pos", "feature"))
+    listed = listed.filter(F.col("feature") >= (least << HASH_BITS))
+    holders = F.pow(F.lit(2.0), F.shiftright("feature", HASH_BITS) / RARITY_STEPS)
+    width = F.ceil(holders / F.lit(float(key_rows))).cast("bigint")
+    own = F.pmod(F.xxhash64("cid"), width)
+    listed = listed.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), width - 1)))
+    at = ("_own", "_other") if role == "small" else ("_other", "_own")
     return listed.select(
-        "q", "feature", salt.alias("salt"), *[F.col(c).alias(f"{role}_{c}") for c in names]
+        "q", "feature", F.col(at[0]).alias("row"), F.col(at[1]).alias("column"), *[F.col(c).alias(f"{role}_{c}") for c in ("cid", "size", "t", "m", "pos")]
     )
 
 
 def overlap_pairs(
-    classes: DataFrame, measure: Measure, floor: float, everything_new: bool, key_rows: int = KEY_ROWS
+    smaller: DataFrame, larger: DataFrame, measure: Measure, floor: float, ties: str, key_rows: int = KEY_ROWS, few: str | None = None
 ) -> DataFrame:
-    """(small_cid, large_cid, threshold, small/large is_new, is_old): unordered pairs that may reach their threshold.
+    """(small_cid, large_cid, threshold): pairs of sets, one of each table of prefixes, that may reach their threshold.
 
-    `floor` is the smallest positive threshold in use. Pairs whose threshold is 0 are not covered.
+    The first is not larger than the second. `ties` says which pairs of equal size count: "once" (both tables are the
+    same one, and a pair is taken in one order), "all" or "none". `few` names the side ("small" or "large") that was counted to
+    be small enough to be broadcast, so that the other one is not shuffled. `floor` is the smallest positive threshold in use. Pairs
+    whose threshold is 0 are not covered.
     """
     tiers = measure.tiers(floor)
-    prefix = prefixes(classes, measure, tiers, floor)
-    holders = F.pow(F.lit(2.0), (F.shiftright("feature", HASH_BITS) + 1) / RARITY_STEPS)
-    copies = F.ceil(holders / F.lit(float(key_rows))).cast("bigint")
-
-    high = None
-    for tier in tiers:
-        if tier.high is not None:
-            bound = F.when(F.col("q") == tier.q, F.lit(tier.high))
-            high = bound if high is None else high.when(F.col("q") == tier.q, F.lit(tier.high))
-
+    bounds = [(tier.q, tier.high) for tier in tiers if tier.high is not None]
     small, large = F.col("small_size"), F.col("large_size")
     threshold = F.greatest("small_t", "large_t")
     need = F.ceil(measure.shared_min(small, large, threshold, F.col("q")) - ROUNDING)
     rest = F.least(F.col("small_m") - F.col("small_pos"), F.col("large_m") - F.col("large_pos"))
     reachable = F.least("small_pos", "large_pos") + rest >= need
-
-    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        pairs = _postings(left, "small", copies, True).join(
-            _postings(right, "large", copies, False), ["feature", "q", "salt"]
-        )
-        pairs = pairs.filter(
-            ((small < large) | ((small == large) & (F.col("small_cid") < F.col("large_cid"))))
-            & (threshold > 0)
-            & measure.size_ok(small, large, threshold)
-            & reachable
-        )
-        return pairs if high is None else pairs.filter(high.isNull() | (large < high))
-
-    if everything_new:
-        met = meet(prefix, prefix)
-    else:
-        forward = meet(prefix.filter("is_new"), prefix.filter("is_old"))
-        backward = meet(prefix.filter("is_old"), prefix.filter("is_new")).filter(
-            ~(F.col("small_is_new") & F.col("large_is_old"))
-        )
-        met = forward.unionByName(backward)
-
-    flags = ["small_is_new", "small_is_old", "large_is_new", "large_is_old"]
+    equal = {"once": F.col("small_cid") < F.col("large_cid"), "all": F.lit(True), "none": F.lit(False)}[ties]
+    holders = 2 if ties == "once" else 1
+    sides = {"small": _postings(smaller, "small", holders, key_rows), "large": _postings(larger, "large", holders, key_rows)}
+    if few:
+        sides[few] = F.broadcast(sides[few])
+    met = sides["small"].join(sides["large"], ["feature", "q", "row", "column"])
+    met = met.filter(
+        ((small < large) | ((small == large) & equal)) & (threshold > 0) & measure.size_ok(small, large, threshold) & reachable
+    )
+    for q, high in bounds:
+        met = met.filter((F.col("q") != q) | (large < high))
     bounded = met.withColumn("need", need).withColumn("threshold", threshold).groupBy("small_cid", "large_cid").agg(
         F.count("*").alias("shared"),
-        F.max(F.col("small_pos")).alias("small_pos"),
-        F.max(F.col("large_pos")).alias("large_pos"),
+        F.max("small_pos").alias("small_pos"),
+        F.max("large_pos").alias("large_pos"),
         F.max("small_m").alias("small_m"),
         F.max("large_m").alias("large_m"),
         F.max("need").alias("need"),
         F.max("threshold").alias("threshold"),
-        *[F.max(f).alias(f) for f in flags],
     )
     rest = F.least(F.col("small_m") - F.col("small_pos"), F.col("large_m") - F.col("large_pos")) - 1
-    return bounded.filter(F.col("shared") + rest >= F.col("need")).select(
-        "small_cid", "large_cid", "threshold", *flags
-    )
+    return bounded.filter(F.col("shared") + rest >= F.col("need")).select("small_cid", "large_cid", "threshold")

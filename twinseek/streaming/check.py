@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from twinseek.operators.match import match_units
+from twinseek.operators.match import build_index, match_index
 from twinseek.operators.thresholds import ThresholdConfig
 
 
@@ -21,12 +21,13 @@ def stream_check(
     """Matches every micro-batch of `arrivals` (a streaming units table) against `corpus`.
 
     All files available at the start are worked off, then the query stops. Each batch owns one folder of the output
-    and overwrites it, so a batch repeated after a failure does not add rows twice.
+    and overwrites it, so a batch repeated after a failure does not add rows twice. The corpus is indexed once, before the
+    stream starts.
     """
+    index = build_index(corpus, measure, thresholds, allow_wide)
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        found = match_units(corpus, new_units=batch, measure=measure, thresholds=thresholds, allow_wide=allow_wide)
-        found.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        match_index(index, batch).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     return (
         arrivals.writeStream.foreachBatch(check)
