@@ -105,6 +105,7 @@ class Measure:
     worst_large(size, low, t)       the same, seen from its larger side
     tiers(t)                        features to use, by length of the longer text
     possible(a, b, t)               a cheap test that fails only for pairs below t
+    segments                        may short texts be met by unchanged segments (edit distance)?
     wide_below                      thresholds under this prune so little that the caller has to ask for it
     """
 
@@ -121,6 +122,7 @@ class Measure:
     tiers: Callable[[float], list[Tier]]
     wide_below: float
     possible: Callable[[Column, Column, Column], Column] | None = None
+    segments: bool = False
 
 
 def _ratio_ok(small: Column, large: Column, t: Column) -> Column:
@@ -232,6 +234,7 @@ MEASURES = {
             worst_large=lambda n, low, t: (n, n),
             tiers=_edit_tiers,
             wide_below=0.5,
+            segments=True,
         ),
     )
 }

@@ -21,6 +21,7 @@ from twinseek.functions.measures import Measure, get_measure
 from twinseek.functions.text import token_set
 from twinseek.operators.overlap import overlap_pairs, prefixes, rarity_table
 from twinseek.operators.thresholds import DEFAULT_THRESHOLD, ThresholdConfig, folder_threshold, folder_threshold_table
+from twinseek.operators.segments import segment_pairs
 from twinseek.plans.layout import BROADCAST_ROWS, hub_join, lookup_join, spread
 from twinseek.schema import confidence
 from twinseek.session import materialize
@@ -215,6 +216,12 @@ def match_index(index: CorpusIndex, new_units: DataFrame) -> DataFrame:
         pairs = up.select(F.col("small_cid").alias("new_cid"), F.col("large_cid").alias("old_cid"), "threshold").unionByName(
             down.select(F.col("large_cid").alias("new_cid"), F.col("small_cid").alias("old_cid"), "threshold")
         )
+        if m.segments:
+            up = segment_pairs(classes, index.classes, floor, "all")
+            down = segment_pairs(index.classes, classes, floor, "none")
+            pairs = pairs.unionByName(up.withColumnsRenamed({"small_cid": "new_cid", "large_cid": "old_cid"})).unionByName(
+                down.withColumnsRenamed({"large_cid": "new_cid", "small_cid": "old_cid"})
+            )
         found = found.unionByName(_scored(pairs, classes, index.classes, m))
     if index.lowest == 0:
         found = found.unionByName(_zero_threshold(classes, index.classes, m))
@@ -261,6 +268,8 @@ def match_units(
     found = _equal_features(classes, classes, True)
     if index.floor < 1.0:
         pairs = overlap_pairs(index.prefix, index.prefix, m, index.floor, "once")
+        if m.segments:
+            pairs = pairs.unionByName(segment_pairs(classes, classes, index.floor, "once"))
         if m.symmetric:
             once = pairs.select(F.col("small_cid").alias("new_cid"), F.col("large_cid").alias("old_cid"), "threshold")
             scored = _scored(once, classes, classes, m).withColumnsRenamed({"new_cid": "small_cid", "old_cid": "large_cid"})

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinseek.functions.measures import Measure, Tier
+from twinseek.operators.segments import segmented
 from twinseek.plans.layout import KEY_ROWS
 
 ROUNDING = 1e-6
@@ -118,6 +119,8 @@ def prefixes(classes: DataFrame, measure: Measure, floor: float, rarity: np.ndar
     sized = rows.withColumn("p_small", prefix_length(measure.worst_small(size, low, t))).withColumn(
         "p_large", F.when(size >= low, prefix_length(measure.worst_large(size, low, t))).otherwise(F.lit(0))
     )
+    if measure.segments:  # pairs with such a smaller text are found by `segment_pairs`
+        sized = sized.withColumn("p_small", F.when(segmented(size, floor), 0).otherwise(F.col("p_small")))
     sized = sized.withColumn("keep", F.greatest("p_small", "p_large")).filter("keep > 0")
     shared, bits = classes.sparkSession.sparkContext.broadcast(rarity), HASH_BITS
 
