@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinseek.functions.text import token_set
+from twinseek.functions.text import TOKEN_PATTERN, token_set
 
 # Slack for floating-point rounding, used in bounds only, never in the final comparison.
 EPS = 1e-9
@@ -256,14 +256,13 @@ def register_measures(spark: SparkSession) -> None:
     The two built-in ones become SQL functions that the optimizer inlines; only the sequence ratio runs in Python.
     """
     spark.sql(
-        r"""CREATE OR REPLACE TEMPORARY FUNCTION token_set(body STRING) RETURNS ARRAY<STRING> RETURN
-        array_distinct(regexp_extract_all(body,
-          '(?U)[A-Za-z_]\\w*|\\d+|==|!=|<=|>=|[\\(\\)\\[\\]\\{\\}\\.,:;\\+\\-\\*/%<>]', 0))"""
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION token_set(body STRING) RETURNS ARRAY<STRING> RETURN
+        array_distinct(regexp_extract_all(body, r'(?U){TOKEN_PATTERN}', 0))"""
     )
     spark.sql(
         """CREATE OR REPLACE TEMPORARY FUNCTION jaccard_tokens(a STRING, b STRING) RETURNS DOUBLE RETURN
-        CASE WHEN size(array_union(token_set(a), token_set(b))) = 0 THEN 1e0
-        ELSE size(array_intersect(token_set(a), token_set(b))) / size(array_union(token_set(a), token_set(b))) END"""
+        transform(array(named_struct('x', token_set(a), 'y', token_set(b))), s -> CASE WHEN size(s.x) + size(s.y) = 0 THEN 1e0
+          ELSE size(array_intersect(s.x, s.y)) / size(array_union(s.x, s.y)) END)[0]"""
     )
     spark.sql(
         """CREATE OR REPLACE TEMPORARY FUNCTION levenshtein_norm(a STRING, b STRING) RETURNS DOUBLE RETURN

@@ -170,20 +170,22 @@ def int_div(a: Column, b: Column) -> Column:
 def locate(points: DataFrame, point: str, intervals: DataFrame, low: str, high: str, cells: int, end: int) -> DataFrame:
     """Joins each point with the interval that holds it (`low` <= point < `high`); the intervals are disjoint.
 
-    [0, end) is cut into `cells` equal cells. An interval is listed under every cell it touches, a point under one, and
-    the two meet by an equi-join on the cell: one wide interval is thereby spread over many keys.
+    [0, end) is cut into `cells` equal cells. An interval is listed under every cell it touches, a point under one. Inside a
+    cell, points and interval starts are put in one order and each point takes the last start before it: the work is the
+    number of rows, however many intervals a cell holds, and one wide interval is spread over many cells.
     """
     width = F.lit(max(1, -(-end // max(1, cells)))).cast(BIG)
     cell_of = lambda c: int_div(c.cast(BIG), width)
-    listed = intervals.filter(F.col(high) > F.col(low)).withColumn(
-        "_cell", F.explode(F.sequence(cell_of(F.col(low)), cell_of(F.col(high) - 1)))
-    )
-    placed = points.withColumn("_cell", cell_of(F.col(point)))
-    return (
-        placed.join(listed, "_cell")
-        .filter((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high)))
-        .drop("_cell")
+    own = F.struct(*intervals.columns)
+    listed = intervals.filter(F.col(high) > F.col(low)).select(
+        own.alias("_interval"), F.col(low).cast(BIG).alias("_low"), F.explode(F.sequence(cell_of(F.col(low)), cell_of(F.col(high) - 1))).alias("_cell")
     )
+    listed = listed.select("_cell", F.greatest("_low", (F.col("_cell") * width).cast(BIG)).alias("_at"), F.lit(0).alias("_is_point"), "_interval")
+    placed = points.select(cell_of(F.col(point)).alias("_cell"), F.col(point).cast(BIG).alias("_at"), F.lit(1).alias("_is_point"), F.struct(*points.columns).alias("_row"))
+    upto = Window.partitionBy("_cell").orderBy("_at", "_is_point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = listed.unionByName(placed, allowMissingColumns=True).withColumn("_interval", F.last("_interval", ignorenulls=True).over(upto))
+    found = held.filter("_is_point = 1 AND _interval IS NOT NULL").select("_row.*", "_interval.*")
+    return found.filter((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high)))
 
 
 def draw(spark: SparkSession, size: int, k: int, seed: int, out: str) -> DataFrame:
