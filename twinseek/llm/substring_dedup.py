@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinseek.llm.common import arrow_map, run_bounds, whole_runs
+from twinseek.plans.layout import lookup_join
 from twinseek.session import materialize
 
 WINDOW = 35
@@ -302,7 +303,11 @@ def _found(keyed: DataFrame, window: int, family_words: int) -> tuple[DataFrame,
     placed = scanned.select("did", "tk", F.explode(F.arrays_zip("hashes", "places")).alias("a"))
     placed = placed.select("did", "tk", F.col("a.hashes").alias("h"), F.col("a.places").alias("place"))
     counted = placed.groupBy("h").agg(F.count("*").alias("n"), F.min(F.xxhash64("did", "tk")).alias("family"))
-    routes = placed.join(counted.filter("n > 1").drop("n"), "h").groupBy("did", "tk").agg(F.collect_set(F.struct("family", "place")).alias("routes"))
+    repeated = materialize(counted.filter("n > 1"), "substring-anchors")
+    total = scanned.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0)).alias("n")).first().n
+    # A line found everywhere is an anchor of very many rows: such keys go through a broadcast of bounded size.
+    routed = lookup_join(placed, repeated, ["h"], "n", total)
+    routes = routed.groupBy("did", "tk").agg(F.collect_set(F.struct("family", "place")).alias("routes"))
     candidates = materialize(keyed.select("did", "tk", "text").join(routes, ["did", "tk"]), "substring-candidates")
     segments = materialize(_segments(candidates, window), "substring-segments")
     distinct = segments.groupBy("family", "seg").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("words").alias("words"))
