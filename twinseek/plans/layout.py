@@ -26,14 +26,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, rows: int = BROADCAST_ROWS
+    left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, rows: int | None = None
 ) -> DataFrame:
     """Inner join with a table holding one row per key, safe for hot keys.
 
     `weight` (a column of `right`) is the number of rows of `left` with that key, and `total` the number of rows of
     `left`. At most ``total / c`` keys can have a weight of at least ``c``, so with ``c = total / rows`` the heavy keys
-    fit a broadcast of `rows` rows. The others have fewer than ``c`` rows each and are joined by a shuffle.
+    fit a broadcast of `rows` rows: by default fewer if they hold texts, and always to be given if those may be long. The
+    others have fewer than ``c`` rows each and are joined by a shuffle.
     """
+    if rows is None:
+        rows = BROADCAST_ROWS // 5 if "string" in dict(right.dtypes).values() else BROADCAST_ROWS
     cut = max(1, math.ceil(total / rows))
     if cut == 1:
         return left.join(F.broadcast(right), keys)
@@ -141,25 +144,18 @@ def take_smallest(df: DataFrame, order: str, k: int, tie: str, digits: int = 4)
 def global_row_number(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """1-based row number over a total order, without moving all rows to one task.
 
-    The rows are range-partitioned, sorted and written once, so that the partition of a row is fixed; row numbers then
-    come from per-partition numbering plus the sizes of the earlier partitions.
+    The rows are range-partitioned, sorted and written once, each with its partition and place there. Row numbers are the
+    place plus the sizes of the earlier partitions, so nothing is sorted or shuffled again.
     """
-    ranged = (
-        df.repartitionByRange(*order)
-        .withColumn("_part", F.spark_partition_id())
-        .sortWithinPartitions(*order)
-    )
-    stored = materialize(ranged, "ranged")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = materialize(ranged.withColumn("_place", F.monotonically_increasing_id()), "ranged")
+    # Fixed by Spark: the partition is in the bits from 33 on, the place below.
+    stored = stored.withColumn("_part", F.shiftright("_place", 33)).withColumn("_place", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = stored.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per partition
     earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_part").orderBy(*order)
-    return (
-        stored.withColumn("_rank", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(out, F.col("_before") + F.col("_rank"))
-        .drop("_part", "_rank", "_before")
-    )
+    numbered = stored.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_before") + F.col("_place") + 1)
+    return numbered.drop("_part", "_place", "_before")
 
 
 def int_div(a: Column, b: Column) -> Column:
