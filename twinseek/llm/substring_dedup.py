@@ -277,17 +277,21 @@ def _by_windows(distinct: DataFrame, window: int) -> DataFrame:
                 space = [-1, *np.flatnonzero(np.frombuffer(joined, np.uint8) == 32).tolist(), len(joined)]
                 n = len(space) - window
                 digests = b"".join(xxhash.xxh3_128_digest(joined[space[i] + 1 : space[i + window]]) for i in range(n))
-                pair = np.frombuffer(digests, "<i8").reshape(-1, 2)
+                # A window that recurs inside a segment, as in a repeated line, is one row with all its places.
+                own, number, times = np.unique(np.frombuffer(digests, "V16"), return_inverse=True, return_counts=True)
+                pair = np.frombuffer(own.tobytes(), "<i8").reshape(-1, 2)
+                offsets = np.concatenate(([0], np.cumsum(times))).astype(np.int32)
+                places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.argsort(number, kind="stable").astype(np.int32)))
                 cols = [
-                    pa.array(np.full(n, family[row])), pa.array([seg] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)),
-                    pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(np.full(n, copies, np.int64)),
+                    pa.array(np.full(len(own), family[row])), pa.array([seg] * len(own), pa.binary()), places,
+                    pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(times * np.int64(copies)),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["family", "seg", "i", "h1", "h2", "copies"])
+                yield pa.RecordBatch.from_arrays(cols, names=["family", "seg", "places", "h1", "h2", "copies"])
 
-    windows = arrow_map(distinct.select("family", "seg", "words", "copies"), explode, "family long, seg binary, i int, h1 long, h2 long, copies long")
+    windows = arrow_map(distinct.select("family", "seg", "words", "copies"), explode, "family long, seg binary, places array<int>, h1 long, h2 long, copies long")
     windows = materialize(windows, "substring-windows")
     twice = windows.groupBy("family", "h1", "h2").agg(F.sum("copies").alias("n")).filter("n > 1").drop("n")
-    found = windows.join(twice, ["family", "h1", "h2"]).groupBy("family", "seg").agg(F.sort_array(F.collect_list("i")).alias("at"))
+    found = windows.join(twice, ["family", "h1", "h2"]).groupBy("family", "seg").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("at"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
