@@ -2,8 +2,8 @@
 
 1. *Where to look.* Every window of `window` words holds an anchor, the k-gram of least hash in it; equal windows have
    equal anchors. About 8 % of all positions are anchors. Anchors are counted with map-side combining; one seen twice or
-   more names its *family* (the document of least hash that has it), and the words around it form a segment of that
-   family. Overlapping segments of one document and family are joined, so a place is in a family once, and all places of
+   more names its *family* (the document of least hash that has it), and the windows it is the anchor of form a segment of
+   that family. Overlapping segments of one document and family are joined, so a place is in a family once, and all places of
    a window meet in the family of its anchor.
 2. *What repeats.* A family, its equal segments merged with their number, is a reference shard. Its suffix automaton is
    built inside a task and its segments are streamed through it: the matching statistic at a word is the longest suffix
@@ -68,16 +68,31 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     return best(values[:-rest], values[rest:]) if rest else values
 
 
-def anchors_of(docs: list[bytes], window: int = WINDOW, size: int = ANCHOR) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, word numbers) of the anchors of texts whose words are joined by one space; all have `window` words or more."""
-    stream = np.frombuffer(b" ".join(docs), np.uint8)
+def _grams(joined: bytes, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of the words, hash of the `size` words that begin at each): a polynomial of the bytes, whatever stands before."""
+    stream = np.frombuffer(joined, np.uint8)
     space = np.flatnonzero(stream == 32)
     starts = np.concatenate(([0], space + 1))
     ends = np.concatenate((space, [len(stream)]))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((stream.astype(np.uint64) + np.uint64(1)) * _powers(_P, len(stream)), dtype=np.uint64)))
-    back = _powers(_P_INV, len(stream))
     n = len(starts) - size + 1
-    grams = _mix((sums[ends[size - 1 :]] - sums[starts[:n]]) * back[starts[:n]])
+    return starts, _mix((sums[ends[size - 1 :]] - sums[starts[:n]]) * _powers(_P_INV, len(stream))[starts[:n]])
+
+
+def owners_of(joined: bytes, window: int = WINDOW, size: int = ANCHOR) -> np.ndarray:
+    """For every window of a text, the place of its anchor: the leftmost gram of least hash in it."""
+    _, grams = _grams(joined, size)
+    span = window - size + 1
+    out = np.empty(len(grams) - span + 1, np.int64)
+    for at in range(0, len(out), 1 << 16):
+        part = np.lib.stride_tricks.sliding_window_view(grams[at : at + (1 << 16) + span - 1], span)
+        out[at : at + len(part)] = part.argmin(axis=1) + np.arange(at, at + len(part))
+    return out
+
+
+def anchors_of(docs: list[bytes], window: int = WINDOW, size: int = ANCHOR) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, word numbers) of the anchors of texts whose words are joined by one space; all have `window` words or more."""
+    starts, grams = _grams(b" ".join(docs), size)
     span = window - size + 1
     lowest = _sliding(grams, span, np.minimum)
     first = np.searchsorted(starts, np.concatenate(([0], np.cumsum([len(d) + 1 for d in docs])[:-1])))
@@ -214,7 +229,7 @@ def _scan(keyed: DataFrame, window: int) -> DataFrame:
 
 
 def _segments(candidates: DataFrame, window: int) -> DataFrame:
-    """(did, tk, family, start, n, seg, words): the words around anchors, joined per family; `seg` identifies the words."""
+    """(did, tk, family, start, n, seg, words): the windows of a family's anchors, joined where they overlap; `seg` identifies the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["did", "tk", "family", "start", "n", "seg", "words"]
@@ -223,18 +238,19 @@ def _segments(candidates: DataFrame, window: int) -> DataFrame:
             rows: list[list] = [[] for _ in names]
             for did, tk, text, routes in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 words = words_of(text)
+                owners = owners_of(b" ".join(words), window)
                 by_family: dict[int, list[int]] = {}
                 for r in routes:
                     by_family.setdefault(r["family"], []).append(r["place"])
                 for family, places in by_family.items():
-                    at = np.sort(np.array(places))
-                    begin, end = np.maximum(at - (window - ANCHOR), 0), np.minimum(at + window, len(words))
-                    new = np.flatnonzero(np.concatenate(([True], begin[1:] >= end[:-1])))
-                    for a, b in zip(begin[new].tolist(), end[np.concatenate((new[1:], [len(at)])) - 1].tolist(), strict=True):
-                        if b - a >= window:
-                            joined = b" ".join(words[a:b])
-                            for col, x in zip(rows, (did, tk, family, a, b - a, xxhash.xxh3_128_digest(joined), joined), strict=True):
-                                col.append(x)
+                    begin = np.flatnonzero(np.isin(owners, places))
+                    if not len(begin):
+                        continue
+                    new = np.flatnonzero(np.concatenate(([True], begin[1:] >= begin[:-1] + window)))
+                    for a, b in zip(begin[new].tolist(), (begin[np.concatenate((new[1:], [len(begin)])) - 1] + window).tolist(), strict=True):
+                        joined = b" ".join(words[a:b])
+                        for col, x in zip(rows, (did, tk, family, a, b - a, xxhash.xxh3_128_digest(joined), joined), strict=True):
+                            col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
 
     schema = "did long, tk long, family long, start int, n int, seg binary, words binary"
