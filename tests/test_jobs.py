@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import json
 import os
+from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
-from twinseek.catalog import QUERIES
+from twinseek.catalog import QUERIES, pairing
 from twinseek.operators.thresholds import ThresholdConfig
 from twinseek.plans.jobs import build_pairs, check_changes, evaluate_measures, module_functions
 from twinseek.schema import UNIT_SCHEMA
+from twinseek.session import scratch_root
 from twinseek.sources.files import changed_set, scan_files, scan_folder
 from twinseek.sources.sinks import load_pairs, report_document
 from twinseek.streaming.check import read_stream_matches, stream_check
@@ -136,3 +138,17 @@ def test_named_query(spark, name):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
+
+
+def test_pair_arrays_stay_small_under_skew(spark, tmp_path):
+    """One conversation with nearly all pairs: its pairs are dealt to many arrays."""
+    turns = [(1, i, "user", f'say "{i}"\nto all') for i in range(180)] + [(c, i, "user", f"short {c} {i}") for c in (2, 3) for i in range(3)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    frame.write.parquet(str(tmp_path / "conversations.parquet"))
+    folders = lambda: set(Path(scratch_root(spark).removeprefix("file://")).glob("pair-arrays-*"))
+    before = folders()
+    back = pairing.q_load_pairs_arrays(spark, str(tmp_path))
+    assert back.groupBy("source_module1").count().orderBy("source_module1").collect() == [(1, 180 * 179 // 2), (2, 3), (3, 3)]
+    (folder,) = folders() - before
+    sizes = [len(json.loads(p.read_text())) for p in folder.rglob("part-*") if p.stat().st_size]
+    assert sum(sizes) == 180 * 179 // 2 + 6 and max(sizes) <= 1.5 * pairing.ARRAY_PAIRS

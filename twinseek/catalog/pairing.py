@@ -10,7 +10,7 @@ from twinseek.operators.pairs import (
     sample_modules, sample_one_per_module,
 )
 from twinseek.session import scratch_path
-from twinseek.sources.sinks import load_pairs, read_pairs, write_pairs
+from twinseek.sources.sinks import load_pairs, read_pairs, write_pair_arrays, write_pairs
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,6 +52,9 @@ DRAWN_CROSS_SQL = """places AS (SELECT start + (point - cross_from) // start AS
   drawn_pairs AS (SELECT CASE WHEN p.module <= q.module THEN p ELSE q END AS x, CASE WHEN p.module <= q.module THEN q ELSE p END AS y
     FROM places JOIN numbered p ON p.number = a JOIN numbered q ON q.number = b)"""
 TURNS_SQL = "turns AS (SELECT conv_id AS module, turn AS unit_key, role AS name, text AS body FROM conversations)"
+# Pairs, and bytes of text, that a file of one JSON array has on average at most.
+ARRAY_PAIRS = 2000
+ARRAY_BYTES = 8_000_000
 KEYS = ["source_module1", "unit_key1", "source_module2", "unit_key2", "clone"]
 SAME_TURNS_SQL = f"WITH {TURNS_SQL} " + SAME_SQL.format(u="turns")
 
@@ -152,13 +155,16 @@ def q_load_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("load_pairs_arrays", f"{_TEXT_PAIRS} SELECT source_module1, md5(func1) AS a, md5(func2) AS b, clone FROM p")
 def q_load_pairs_arrays(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs in files that each hold one JSON array, of some hundred pairs."""
+    """Pairs in files that each hold one JSON array; the number of files follows from the pairs and their text."""
     path = scratch_path(spark, "pair-arrays")
-    pairs = same_group_pairs(turn_index(spark, sf)).withColumn("_file", F.pmod(F.xxhash64("source_module1"), F.lit(64)))
-    rows = F.array_join(F.collect_list(F.to_json(F.struct("func1", "func2", "clone", "source_module1"))), ",")
-    arrays = pairs.groupBy("_file").agg(F.concat(F.lit("["), rows, F.lit("]")).alias("value"))
-    arrays.write.partitionBy("_file").text(path)
-    back = load_pairs(spark, f"{path}/*")
+    index = turn_index(spark, sf)
+    # A turn is written once for every other turn of its module.
+    text = F.octet_length(F.to_json(F.struct("body"))).cast("decimal(38,0)")
+    modules = index.units.groupBy("module").agg(F.count("*").alias("n"), F.sum(text).alias("b"))
+    size = int(modules.agg(F.sum((F.col("n") - 1) * F.col("b"))).first()[0] or 0)
+    files = max(1, -(-index.n_same // ARRAY_PAIRS), -(-size // ARRAY_BYTES))
+    write_pair_arrays(same_group_pairs(index), path, ["source_module1", "unit_key1", "unit_key2"], files)
+    back = load_pairs(spark, path)
     return back.select("source_module1", F.md5("func1").alias("a"), F.md5("func2").alias("b"), "clone")
 
 

@@ -47,6 +47,17 @@ def write_pairs(pairs: DataFrame, path: str, file_format: str = "json", mode: st
                    ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
+def write_pair_arrays(pairs: DataFrame, path: str, keys: list[str], files: int, mode: str = "errorifexists") -> None:
+    """Pairs in about `files` files that each hold one JSON array, dealt by a hash of `keys`, which tell pairs apart.
+
+    A group of pairs, however large, is spread over all files; a file has its share of the pairs.
+    """
+    dealt = pairs.withColumn("_file", F.pmod(F.xxhash64(*keys), F.lit(files)))
+    rows = F.array_join(F.collect_list(F.to_json(F.struct("func1", "func2", "clone", "source_module1"))), ",")
+    arrays = dealt.groupBy("_file").agg(F.concat(F.lit("["), rows, F.lit("]")).alias("value"))
+    arrays.select("value").write.mode(mode).option("maxRecordsPerFile", 1).text(path)
+
+
 def report_document(matches: DataFrame, top: int) -> DataFrame:
     """One row with one JSON document: summary, statistics, the best `top` matches and how many are left out.
 
