@@ -161,6 +161,16 @@ def test_page_parts(page, text):
     assert html_extraction.extract(page) == text
 
 
+def test_page_with_blocks_under_body():
+    """No container but the body: its heading, list and short blocks stay, menus and the like go."""
+    paragraph = ("word " * 38 + "a, b, c, d.")[:200]
+    blocks = f"<h1>Short title</h1><p>{paragraph}</p><p>{paragraph}</p><p>{paragraph}</p><ul><li>first item</li><li>other item</li></ul><div>The end</div>"
+    text = " ".join(["Short title", paragraph, paragraph, paragraph, "first item", "other item", "The end"])
+    around = "<nav><a>Home</a></nav>{}<div class=cookie-notice>We use cookies, you know.</div><footer>(c) 2020</footer>"
+    assert html_extraction.extract(f"<html><head><title>T</title></head><body>{around.format(blocks)}</body></html>") == text
+    assert html_extraction.extract(around.format(blocks)) == text
+
+
 def test_pages_edges(spark):
     frame = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "<p>a " * 30_000, "y")], "page_id long, html string, text string")
     got = html_extraction.main_texts(frame).collect()

@@ -2,8 +2,8 @@
 
 A page is read once into text nodes, each with its root-to-leaf path of block tags (with class and id). Per path, text
 length per node and punctuation per node are taken; along the page both ratios are smoothed and fused, and paths above a
-threshold are content. Their container (the article, or else the common parent) supplies its other nodes too, so headings
-and short paragraphs between long ones stay. Nodes inside menus, headers, footers, side bars, adverts, notices, forms,
+threshold are content. Their container (the article, or else the common parent, be it the body) supplies its other nodes
+too, so headings and short paragraphs around long ones stay. Nodes inside menus, headers, footers, side bars, adverts, notices, forms,
 reader comments, scripts and styles are never candidates.
 """
 
@@ -179,7 +179,6 @@ def extract(page: str | None, threshold: float = THRESHOLD) -> str:
         keep = [a in articles for _, a, _ in nodes]
     else:
         parents = {names[p].rpartition("/")[0] for p in np.flatnonzero(content)}
-        parents = {p for p in parents if p.rpartition("/")[2].partition(".")[0] not in ("", "html", "body")}
         keep = [bool(content[p]) or any(name == q or name.startswith(f"{q}/") for q in parents) for (name, _, _), p in zip(nodes, path, strict=True)]
     return " ".join(t for (_, _, t), k in zip(nodes, keep, strict=True) if k)
 
