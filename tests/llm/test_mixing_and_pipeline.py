@@ -74,6 +74,16 @@ def test_mix(spark, tokens, epochs):
     assert Counter(r.doc_id for r in carried.collect()) == Counter(r.doc_id for r in got)
 
 
+def test_mix_by_nullable_columns(spark):
+    """Levels that are plain columns: documents without a name are a leaf of their own, called ''."""
+    frame = spark.createDataFrame([(i, "a b", [None, "en", "de"][i % 3], [None, "s"][i % 2], 1, "x", 5) for i in range(60)], DOCS)
+    levels = [("lang", F.col("lang"), F.lit(1)), ("source", F.col("source"), F.lit(1))]
+    got = source_mixing.mix(frame, levels, tokens=120, max_epochs=1).collect()
+    assert Counter((r.lang, r.source) for r in got) == {(x, y): 10 for x in ("", "en", "de") for y in ("", "s")}
+    carried = source_mixing.mix(frame, levels, tokens=120, max_epochs=1, carry=True)
+    assert Counter(carried.collect()) == Counter(frame.collect())
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], DOCS)
     assert source_mixing.mix(empty).count() == 0 and source_mixing.mix(empty, carry=True).count() == 0

@@ -107,7 +107,7 @@ def mix(
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     counted = docs.select(
         F.col(f"`{doc_id}`").alias("id"),
-        *[v.cast("string").alias(n) for n, (_, v, _) in zip(names, levels, strict=True)],
+        *[F.coalesce(v.cast("string"), F.lit("")).alias(n) for n, (_, v, _) in zip(names, levels, strict=True)],
         *[w.cast("long").alias(f"_w{i}") for i, (_, _, w) in enumerate(levels)],
         (word_tokens(F.col(f"`{text}`")) if n_tokens is None else n_tokens).alias("n_tokens"),
         F.xxhash64(F.col(f"`{text}`")).alias("tie"),
