@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinseek.llm import byte_bpe, language_id, source_mixing
+from twinseek.llm import byte_bpe, importance_resampling, language_id, source_mixing, sql
 from twinseek.llm.chat_format import chat_examples
 from twinseek.llm.common import held_out
 from twinseek.llm.embedding_dedup import embedding_groups
@@ -26,11 +26,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, oracle: str | None = None):
     def register(fn):
         QUERIES[name] = fn
-        if sql:
-            ORACLES[name] = sql
+        if oracle:
+            ORACLES[name] = oracle
         return fn
 
     return register
@@ -141,3 +141,8 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_simhash_dedup")
 def op9_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_groups(table(spark, sf, "documents"))
+
+
+@query("op11_importance_resampling", sql.RESAMPLING)
+def op11_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
