@@ -37,3 +37,17 @@ RESAMPLING = f"""WITH {CRC_TABLE},
   drawn AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n, weight) AS rank FROM scored WHERE n >= 20)
   SELECT doc_id, n::BIGINT AS n_features, weight, score, rank FROM scored
   LEFT JOIN (SELECT * FROM drawn WHERE rank <= 10 * (SELECT count(*) FROM drawn) // 100) USING (k)"""
+
+# Windows of every length that items have, looked up among the word sequences of that length.
+DECONTAMINATION = rf"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, {words_of("text")} AS words FROM documents),
+  b AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, {words_of("text")} AS words FROM benchmark),
+  windows AS (SELECT DISTINCT item_id, least(len(words), 10) AS size, array_to_string(words[i:i + 9], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM b WHERE len(words) > 0)),
+  sizes AS (SELECT DISTINCT size FROM windows),
+  runs AS (SELECT k, i, size, array_to_string(words[i:i + size - 1], ' ') AS phrase
+    FROM (SELECT k, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM d, sizes WHERE len(words) >= size)),
+  met AS (SELECT k, i, size, item_id FROM runs JOIN windows USING (size, phrase)),
+  hit AS (SELECT k, count(DISTINCT place) AS n_hit FROM (SELECT k, unnest(range(i, i + size)) AS place FROM (SELECT DISTINCT k, i, size FROM met)) GROUP BY k),
+  items AS (SELECT k, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT k, item_id FROM met) GROUP BY k)
+  SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (k) LEFT JOIN items USING (k)"""
