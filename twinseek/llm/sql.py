@@ -68,6 +68,6 @@ VARIANTS = f"""WITH RECURSIVE {CRC_TABLE},
     FROM near JOIN w o ON o.word = near GROUP BY near.word),
   forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 5 * w.n THEN b.word END AS form, CASE WHEN b.n >= 5 * w.n THEN b.n END AS form_n
     FROM w LEFT JOIN best USING (word)),
-  chain(word, at, depth) AS (SELECT word, word, 0 FROM forms UNION ALL SELECT c.word, f.form, depth + 1 FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NOT NULL),
-  roots AS (SELECT word, arg_max(at, depth) AS root FROM chain GROUP BY word)
+  chain(word, stop, depth) AS (SELECT word, word, 0 FROM forms UNION ALL SELECT c.word, f.form, depth + 1 FROM chain c JOIN forms f ON f.word = c.stop WHERE f.form IS NOT NULL),
+  roots AS (SELECT word, arg_max(stop, depth) AS root FROM chain GROUP BY word)
   SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM forms JOIN roots USING (word)"""
