@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from twinseek.functions.measures import Measure, get_measure
 from twinseek.functions.text import token_set
-from twinseek.operators.overlap import overlap_pairs, prefixes, rarity_table
+from twinseek.operators.overlap import bucket_counts, overlap_pairs, prefixes, rarity_table
 from twinseek.operators.thresholds import DEFAULT_THRESHOLD, ThresholdConfig, folder_threshold, folder_threshold_table
 from twinseek.operators.segments import segment_pairs
 from twinseek.plans.layout import BROADCAST_ROWS, hub_join, lookup_join, spread
@@ -50,7 +50,9 @@ Thresholds = ThresholdConfig | DataFrame
 class CorpusIndex:
     """A corpus prepared once for any number of new tables: its units, classes and rare-first prefixes, all written.
 
-    The order of features is frozen with the index. Features that only new units have come first in it and meet nothing.
+    The order of features is frozen with the index. Features that only new units have come first in it and meet nothing,
+    unless units were added since: then `holders_now` says how many hold the features of a bucket by now, where these are many.
+    Units and classes that were added in parts have a column `segment`.
     """
 
     measure: Measure
@@ -64,9 +66,10 @@ class CorpusIndex:
     floor: float
     rarity: np.ndarray
     prefix: DataFrame
+    holders_now: DataFrame | None = None
 
 
-def _classes(units: DataFrame, m: Measure, thresholds: Thresholds, global_threshold: float, side: int) -> tuple[DataFrame, DataFrame]:
+def unit_classes(units: DataFrame, m: Measure, thresholds: Thresholds, global_threshold: float, side: int) -> tuple[DataFrame, DataFrame]:
     """(units with class key and threshold, classes). `side` keeps the class ids of two tables apart."""
     columns = ["unit_id", "file_path", "name", "line_start", "line_end", "body"]
     rows = spread(units.select(*columns, (F.col("unit_id") * 2 + side).alias("uid"))).filter("body IS NOT NULL")
@@ -84,7 +87,7 @@ def _classes(units: DataFrame, m: Measure, thresholds: Thresholds, global_thresh
     return stored.drop("payload"), materialize(classes.withColumn("size", size), "classes")
 
 
-def _least_positive(thresholds: Thresholds, global_threshold: float) -> float:
+def least_positive(thresholds: Thresholds, global_threshold: float) -> float:
     """The smallest threshold above 0 that any path can have, 1 if there is none."""
     if isinstance(thresholds, DataFrame):
         found = [thresholds.agg(F.min(F.when(F.col("threshold") > 0, F.col("threshold"))).alias("t")).first().t, global_threshold]
@@ -102,13 +105,13 @@ def build_index(
 ) -> CorpusIndex:
     """Index of a corpus for `match_index`; the arguments are those of `match_units`."""
     m, thresholds = get_measure(measure), ThresholdConfig() if thresholds is None else thresholds
-    units, classes = _classes(corpus, m, thresholds, global_threshold, 0)
+    units, classes = unit_classes(corpus, m, thresholds, global_threshold, 0)
     in_use = classes.agg(F.min("t").alias("low"), F.max("t").alias("high")).first()
     if in_use.low is not None and in_use.low < m.wide_below and not allow_wide:
         warnings.warn(f"threshold {in_use.low} makes {measure} compare almost all pairs", stacklevel=2)
     # A pair needs the stricter of two thresholds. Unless the corpus has zeros, its own smallest one is therefore safe.
-    floor = in_use.low if in_use.low else _least_positive(thresholds, global_threshold)
-    rarity = rarity_table(classes, m, floor)
+    floor = in_use.low if in_use.low else least_positive(thresholds, global_threshold)
+    rarity = rarity_table(bucket_counts(classes, m, floor))
     prefix = materialize(prefixes(classes, m, floor, rarity), "prefix")
     return CorpusIndex(m, thresholds, global_threshold, units, classes, units.count(), in_use.low, in_use.high, floor, rarity, prefix)
 
@@ -185,8 +188,8 @@ def _expanded(found: DataFrame, new: tuple[DataFrame, DataFrame, int], old: tupl
         numbers = F.sequence(F.lit(0).cast("bigint"), F.col(f"{prefix}_blocks") - 1)
         out = out.withColumn(f"{prefix}_block", F.explode(numbers)).drop(f"{prefix}_blocks")
     for prefix, (units, classes, total) in (("new", new), ("old", old)):
-        sizes = classes.select("set_key", "t", "cid", "members")
-        members = lookup_join(units, sizes, ["set_key", "t"], "members", total)
+        key = [c for c in ("segment", "set_key", "t") if c in classes.columns]
+        members = lookup_join(units, classes.select(*key, "cid", "members"), key, "members", total)
         side = members.select(
             F.col("cid").alias(f"{prefix}_cid"),
             F.pmod(F.xxhash64("uid"), blocks).alias(f"{prefix}_block"),
@@ -205,14 +208,19 @@ def match_index(index: CorpusIndex, new_units: DataFrame) -> DataFrame:
 
     Only the new units are tokenised; of the corpus, prefixes are read, and the texts of classes that come into question.
     """
-    m, floor = index.measure, index.floor
-    units, classes = _classes(new_units, m, index.thresholds, index.global_threshold, 1)
+    units, classes = unit_classes(new_units, index.measure, index.thresholds, index.global_threshold, 1)
+    prefix = materialize(prefixes(classes, index.measure, index.floor, index.rarity), "prefix") if index.floor < 1.0 else None
+    return match_prepared(index, units, classes, prefix)
+
+
+def match_prepared(index: CorpusIndex, units: DataFrame, classes: DataFrame, prefix: DataFrame | None) -> DataFrame:
+    """`match_index` for new units whose classes and prefixes (under the order of the index) are there already."""
+    m, floor, now = index.measure, index.floor, index.holders_now
     found = _equal_features(classes, index.classes, False)
     if floor < 1.0:
-        prefix = materialize(prefixes(classes, m, floor, index.rarity), "prefix")
         few = (prefix.agg(F.sum(F.size("ordered"))).first()[0] or 0) <= BROADCAST_ROWS // 10  # a posting has about 60 bytes
-        up = overlap_pairs(prefix, index.prefix, m, floor, "all", few="small" if few else None)
-        down = overlap_pairs(index.prefix, prefix, m, floor, "none", few="large" if few else None)
+        up = overlap_pairs(prefix, index.prefix, m, floor, "all", few="small" if few else None, holders_now=now)
+        down = overlap_pairs(index.prefix, prefix, m, floor, "none", few="large" if few else None, holders_now=now)
         pairs = up.select(F.col("small_cid").alias("new_cid"), F.col("large_cid").alias("old_cid"), "threshold").unionByName(
             down.select(F.col("large_cid").alias("new_cid"), F.col("small_cid").alias("old_cid"), "threshold")
         )

@@ -86,19 +86,26 @@ def _listed(classes: DataFrame, measure: Measure, tiers: list[Tier], floor: floa
     return classes.withColumn("q", tier).withColumn("m", F.greatest(F.lit(0), F.col("size") - F.col("q") + 1))
 
 
-def rarity_table(classes: DataFrame, measure: Measure, floor: float) -> np.ndarray:
-    """How common features are, by bucket of their hash: 0 for none, else 1 + log2 of the holders in steps of 1/64.
+def bucket_counts(classes: DataFrame, measure: Measure, floor: float) -> DataFrame:
+    """(b, n): holders of the features of each bucket, at most BUCKETS rows whatever the input.
 
-    Counts are added up by bucket before they are shuffled, and the table has BUCKETS numbers whatever the input. Features
-    that share a bucket look more common than they are; the order stays one and the same for all sets, which is all the
-    join relies on.
+    Counts are added up by bucket before they are shuffled.
     """
     listed = _listed(classes, measure, measure.tiers(floor), floor)
     if measure.by_tokens:
         bucket = F.transform("payload", lambda x: F.xxhash64(x).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
     else:
         bucket = _gram_buckets("payload", "q")
-    counted = listed.select(F.explode(bucket).alias("b")).groupBy("b").agg(F.count("*").alias("n")).toArrow()
+    return listed.select(F.explode(bucket).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+
+
+def rarity_table(counts: DataFrame) -> np.ndarray:
+    """How common features are, by bucket of their hash: 0 for none, else 1 + log2 of the holders in steps of 1/64.
+
+    Features that share a bucket look more common than they are; the order stays one and the same for all sets, which is
+    all the join relies on.
+    """
+    counted = counts.toArrow()
     table = np.zeros(BUCKETS, np.int64)
     table[counted["b"].to_numpy()] = np.floor(np.log2(counted["n"].to_numpy()) * RARITY_STEPS).astype(np.int64) + 1
     return table
@@ -141,16 +148,20 @@ def prefixes(classes: DataFrame, measure: Measure, floor: float, rarity: np.ndar
     return sized.select("cid", "q", "size", "t", "m", "p_small", "p_large", ordered.alias("ordered"))
 
 
-def _postings(prefix: DataFrame, role: str, least_holders: int, key_rows: int) -> DataFrame:
+def _postings(prefix: DataFrame, role: str, least_holders: int, key_rows: int, holders_now: DataFrame | None) -> DataFrame:
     """Prefix features of one role that enough sets hold.
 
     Features of many holders are dealt to a square grid of keys: each side is cut into as many parts as the grid is wide,
-    and each part meets every part of the other side once.
+    and each part meets every part of the other side once. `holders_now` (b, n) tells of buckets that have become common
+    since the order was frozen.
     """
-    least = {1: 1, 2: RARITY_STEPS + 1}[least_holders]
+    least = {0: 0, 1: 1, 2: RARITY_STEPS + 1}[least_holders]
     listed = prefix.select("*", F.posexplode(F.slice("ordered", F.lit(1), F.col(f"p_{role}"))).alias("pos", "feature"))
     listed = listed.filter(F.col("feature") >= (least << HASH_BITS))
     holders = F.pow(F.lit(2.0), F.shiftright("feature", HASH_BITS) / RARITY_STEPS)
+    if holders_now is not None:  # at most BUCKETS rows of two numbers
+        listed = listed.withColumn("b", F.col("feature").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).join(F.broadcast(holders_now), "b", "left")
+        holders = F.greatest(holders, F.col("n").cast("double"))
     width = F.ceil(holders / F.lit(float(key_rows))).cast("bigint")
     own = F.pmod(F.xxhash64("cid"), width)
     listed = listed.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), width - 1)))
@@ -161,14 +172,16 @@ def _postings(prefix: DataFrame, role: str, least_holders: int, key_rows: int) -
 
 
 def overlap_pairs(
-    smaller: DataFrame, larger: DataFrame, measure: Measure, floor: float, ties: str, key_rows: int = KEY_ROWS, few: str | None = None
-) -> DataFrame:
+    smaller: DataFrame, larger: DataFrame, measure: Measure, floor: float, ties: str, key_rows: int = KEY_ROWS, few: str | None = None,
+    holders_now: DataFrame | None = None,
+) -> DataFrame:
     """(small_cid, large_cid, threshold): pairs of sets, one of each table of prefixes, that may reach their threshold.
 
     The first is not larger than the second. `ties` says which pairs of equal size count: "once" (both tables are the
     same one, and a pair is taken in one order), "all" or "none". `few` names the side ("small" or "large") that was counted to
     be small enough to be broadcast, so that the other one is not shuffled. `floor` is the smallest positive threshold in use. Pairs
-    whose threshold is 0 are not covered.
+    whose threshold is 0 are not covered. `holders_now` is given if sets were added after the order of features was frozen:
+    features that are unknown to the order then count too.
     """
     tiers = measure.tiers(floor)
     bounds = [(tier.q, tier.high) for tier in tiers if tier.high is not None]
@@ -178,8 +191,8 @@ def overlap_pairs(
     rest = F.least(F.col("small_m") - F.col("small_pos"), F.col("large_m") - F.col("large_pos"))
     reachable = F.least("small_pos", "large_pos") + rest >= need
     equal = {"once": F.col("small_cid") < F.col("large_cid"), "all": F.lit(True), "none": F.lit(False)}[ties]
-    holders = 2 if ties == "once" else 1
-    sides = {"small": _postings(smaller, "small", holders, key_rows), "large": _postings(larger, "large", holders, key_rows)}
+    holders = 0 if holders_now is not None else 2 if ties == "once" else 1
+    sides = {"small": _postings(smaller, "small", holders, key_rows, holders_now), "large": _postings(larger, "large", holders, key_rows, holders_now)}
     if few:
         sides[few] = F.broadcast(sides[few])
     met = sides["small"].join(sides["large"], ["feature", "q", "row", "column"])

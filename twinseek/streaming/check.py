@@ -1,4 +1,4 @@
-"""Checking newly arriving units against a fixed corpus."""
+"""Checking newly arriving units against a fixed corpus, or against one that takes them in."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from twinseek.operators.match import build_index, match_index
+from twinseek.operators.stored_index import StoredIndex
 from twinseek.operators.thresholds import ThresholdConfig
 
 
@@ -37,6 +38,28 @@ def stream_check(
     )
 
 
+def stream_arrivals(
+    arrivals: DataFrame, index: StoredIndex, out_path: str, checkpoint_path: str, stream: str = "arrivals"
+) -> StreamingQuery:
+    """Matches every micro-batch of `arrivals` against the stored corpus, all earlier batches and itself.
+
+    A batch is first added to the index, as one version under the name of the stream and the number of the batch, then
+    matched with that version. A batch that is repeated after a failure finds its version in the log: nothing is added twice,
+    and it meets what it met the first time. A restart reads the log and the table of bucket counts, no text.
+    """
+
+    def check(batch: DataFrame, batch_id: int) -> None:
+        version = index.append(batch, batch=f"{stream}:{batch_id}")
+        index.match_added(version).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+
+    return (
+        arrivals.writeStream.foreachBatch(check)
+        .option("checkpointLocation", checkpoint_path)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def read_stream_matches(spark: SparkSession, out_path: str) -> DataFrame:
     """All matches written so far, with the batch they came from."""
     return spark.read.parquet(out_path)
