@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinseek.llm.common import arrow_map, texts_of
+from twinseek.llm.common import arrow_map, column_last, texts_of
 
 # Distinct pieces a task remembers; beyond it the cache starts anew.
 CACHE_PIECES = 400_000
@@ -268,18 +268,15 @@ def _through(df: DataFrame, rank_file: str, pattern: str, column: str, outs: lis
     """Adds columns made by `fn(codec, Arrow column)`; the rank file (under 1 MB) is read on the driver and broadcast."""
     with open(rank_file, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
-    made = {o.name for o in outs}
-    kept = [c for c in df.columns if c not in made and not (drop and c == column)]
-    at = df.columns.index(column)
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{df.columns[at]}`").alias("_in"))
+    source, kept = column_last(df, column, [o.name for o in outs], drop)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
         for batch in batches:
             cols = fn(codec, batch.column(len(kept)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*kept, *[o.name for o in outs]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[o.name for o in [*kept, *outs]])
 
-    return arrow_map(source, run, T.StructType([*source.schema.fields[:-1], *outs]))
+    return arrow_map(source, run, T.StructType([*kept, *outs]))
 
 
 def _id_lists(found: list[np.ndarray]) -> pa.Array:
@@ -289,7 +286,7 @@ def _id_lists(found: list[np.ndarray]) -> pa.Array:
 
 
 def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """`df` with the token ids (ARRAY<INT>) of every whole text; null counts as empty. A column already called `out` is replaced."""
+    """`df` with the token ids (ARRAY<INT>) of every whole text; null counts as empty. A column already called `out`, in any case, is replaced."""
     field = T.StructField(out, T.ArrayType(T.IntegerType()))
     return _through(df, rank_file, pattern, text, [field], lambda codec, column: [_id_lists(list(codec.encode_many(texts_of(column))))])
 
@@ -307,7 +304,7 @@ def round_trip(df: DataFrame, rank_file: str, pattern: str, text: str = "text",
     """`df` without its text, with n_tokens, ids_sha256 and decoded_sha256: encoding and decoding in one pass; with `ids`, also the ids.
 
     ids_sha256 is of the ids as little-endian unsigned 32-bit integers, decoded_sha256 of the bytes decoded from the ids.
-    Null counts as empty; one row per row; columns that have one of the new names are replaced.
+    Null counts as empty; one row per row; columns that have one of the new names, in any case, are replaced.
     """
     outs = [T.StructField("n_tokens", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("ids_sha256", "decoded_sha256")]]
     if ids:
@@ -324,6 +321,4 @@ def round_trip(df: DataFrame, rank_file: str, pattern: str, text: str = "text",
         cols = [pa.array(sizes, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
         return [*cols, _id_lists(lists)] if ids else cols
 
-    others = [F.col(f"`{c}`") for c in df.columns if c != text]
-    source = df.select(*others, F.col(f"`{text}`").alias("_text"))
-    return _through(source, rank_file, pattern, "_text", outs, digest, drop=True)
+    return _through(df, rank_file, pattern, text, outs, digest, drop=True)

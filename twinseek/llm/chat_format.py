@@ -55,7 +55,7 @@ def rolling(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role
     )
     rows = rows.join(sizes, rows["conv"].eqNullSafe(sizes["_conv"]) & (rows["block"] == sizes["_block"])).drop("_conv", "_block")
     rows = rows.withColumn("position", F.col("before") + F.col("rank"))
-    rows = rows.withColumn("digest", F.sha2(F.concat_ws("\x1f", F.col("position").cast("string"), "role", "text"), 256))
+    rows = rows.withColumn("digest", F.sha2(F.concat_ws(":", F.col("position").cast("string"), F.length("role").cast("string"), "role", "text"), 256))
     sums = [F.sum(_number(F.col("digest"), at)).over(inside).cast(_BIG).alias(h) for h, at in (("ra", 1), ("rb", 16))]
     rows = materialize(rows.select("conv", "block", "position", "role", "text", "n", *sums), "chat-turns")
     # Sums of the earlier blocks of the conversation.

@@ -29,6 +29,17 @@ def arrow_map(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def column_last(df: DataFrame, column: str, made: Iterable[str], drop: bool) -> tuple[DataFrame, list[T.StructField]]:
+    """(columns of `df` that stay, then `column`; fields of those that stay). Names are positions, so no name can clash.
+
+    Columns called like one of `made` go, whatever their case; `drop` leaves `column` itself out of those that stay.
+    """
+    at, taken = df.columns.index(column), {m.lower() for m in made}
+    kept = [i for i, c in enumerate(df.columns) if c.lower() not in taken and not (drop and i == at)]
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.select(*[F.col(f"c{i}") for i in kept], F.col(f"c{at}").alias("last")), [df.schema.fields[i] for i in kept]
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Strings of an Arrow column; null becomes the empty text."""
     return [t or "" for t in column.to_pylist()]

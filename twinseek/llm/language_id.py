@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from twinseek.llm.common import arrow_map, held_out
+from twinseek.llm.common import arrow_map, column_last, held_out
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -197,22 +197,21 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """`docs` without its text column, with lang_pred, score and rejected; columns of these names are replaced.
+    """`docs` without its text column, with lang_pred, score and rejected; columns of these names, in any case, are replaced.
 
     Null texts and texts without a letter get 'und' and score 0 and are rejected. Only the text is an input of a prediction.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     outs = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    kept = [c for c in docs.columns if c != text and c not in {o.name for o in outs}]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_text"))
+    source, kept = column_last(docs, text, [o.name for o in outs], drop=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = shared.value.predict(batch.column(len(kept)).to_pylist())
             cols = [pa.array(x, k) for x, k in zip(found, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*kept, *[o.name for o in outs]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[o.name for o in [*kept, *outs]])
 
-    return arrow_map(source, run, T.StructType([*source.schema.fields[:-1], *outs]))
+    return arrow_map(source, run, T.StructType([*kept, *outs]))
 
 
 def not_rejected(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinseek.llm.common import arrow_map, held_out, texts_of
+from twinseek.llm.common import arrow_map, column_last, held_out, texts_of
 from twinseek.session import materialize
 
 # Shrinkage of a class covariance towards the pooled one, and of the result towards its diagonal.
@@ -129,15 +129,14 @@ def fit(count: np.ndarray, total: np.ndarray, outer: np.ndarray, centre: np.ndar
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` without its text, with `x`, the statistics (ARRAY<DOUBLE>) of the whole text; null counts as empty."""
-    kept = [c for c in docs.columns if c not in (text, "x")]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_text"))
+    source, kept = column_last(docs, text, ["x"], drop=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [statistics(t) for t in texts_of(batch.column(len(kept)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.float64()))], names=[*kept, "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.float64()))], names=[*[k.name for k in kept], "x"])
 
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("x", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*kept, T.StructField("x", T.ArrayType(T.DoubleType()))])
     return arrow_map(source, run, schema)
 
 

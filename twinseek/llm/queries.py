@@ -78,7 +78,7 @@ def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
         count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
-      h AS (SELECT conv_id, pos, n, md5(string_agg(role || chr(31) || text || chr(30), '') OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS h FROM t),
+      h AS (SELECT conv_id, pos, n, md5(string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS h FROM t),
       whole AS (SELECT n, h, min(conv_id) AS conv_id, count(*) AS copies FROM h WHERE pos = n GROUP BY n, h),
       kept AS (SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.pos < h.n AND h.pos = w.n AND h.h = w.h))
     SELECT k.conv_id, k.n AS n_turns, k.copies, string_agg('<|im_start|>' || role || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
