@@ -69,8 +69,11 @@ class CorpusIndex:
     holders_now: DataFrame | None = None
 
 
-def unit_classes(units: DataFrame, m: Measure, thresholds: Thresholds, global_threshold: float, side: int) -> tuple[DataFrame, DataFrame]:
-    """(units with class key and threshold, classes). `side` keeps the class ids of two tables apart."""
+def unit_classes(units: DataFrame, m: Measure, thresholds: Thresholds, global_threshold: float, side: int, write: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(units with class key and threshold, classes). `side` keeps the class ids of two tables apart.
+
+    Without `write` the classes are not written; the caller does it.
+    """
     columns = ["unit_id", "file_path", "name", "line_start", "line_end", "body"]
     rows = spread(units.select(*columns, (F.col("unit_id") * 2 + side).alias("uid"))).filter("body IS NOT NULL")
     if isinstance(thresholds, DataFrame):
@@ -84,7 +87,8 @@ def unit_classes(units: DataFrame, m: Measure, thresholds: Thresholds, global_th
         F.min("uid").alias("cid"), F.count("*").alias("members"), F.first("payload").alias("payload")
     )
     size = F.size("payload") if m.by_tokens else F.length("payload")
-    return stored.drop("payload"), materialize(classes.withColumn("size", size), "classes")
+    classes = classes.withColumn("size", size)
+    return stored.drop("payload"), materialize(classes, "classes") if write else classes
 
 
 def least_positive(thresholds: Thresholds, global_threshold: float) -> float:
