@@ -104,6 +104,8 @@ class Measure:
     worst_small(size, low, t)       (small, large) of the pair with the weakest bound, seen from its smaller side
     worst_large(size, low, t)       the same, seen from its larger side
     tiers(t)                        features to use, by length of the longer text
+    differ_max(small, large, t)     upper bound on the marks (distinct tokens, or characters with repeats) that only one of a
+                                    pair has that reaches t
     possible(a, b, t)               a cheap test that fails only for pairs below t
     segments                        may short texts be met by unchanged segments (edit distance)?
     wide_below                      thresholds under this prune so little that the caller has to ask for it
@@ -121,6 +123,7 @@ class Measure:
     worst_large: Callable[[Column, Column, Column], tuple[Column, Column]]
     tiers: Callable[[float], list[Tier]]
     wide_below: float
+    differ_max: Callable[[Column, Column, Column], Column]
     possible: Callable[[Column, Column, Column], Column] | None = None
     segments: bool = False
 
@@ -133,6 +136,19 @@ def _jaccard_shared(small: Column, large: Column, t: Column, q: Column) -> Colum
     return t / (1.0 + t) * (small + large)
 
 
+def _jaccard_differ(small: Column, large: Column, t: Column) -> Column:
+    return (1.0 - t) / (1.0 + t) * (small + large)
+
+
+def _edit_differ(small: Column, large: Column, t: Column) -> Column:
+    # A replaced character counts twice, an inserted or deleted one once, and the lengths tell how many of these there are.
+    return 2 * F.floor((1.0 - t) * large + EPS) - (large - small)
+
+
+def _sequence_differ(small: Column, large: Column, t: Column) -> Column:
+    return (1.0 - t) * (small + large)
+
+
 def _edit_shared(small: Column, large: Column, t: Column, q: Column) -> Column:
     # Each edit touches at most q grams of the longer text.
     return large - q + 1 - q * (1.0 - t) * large
@@ -202,6 +218,7 @@ MEASURES = {
             worst_large=lambda n, low, t: (t * n, n),
             tiers=lambda t: [Tier(0, 1, None)],
             wide_below=EPS,
+            differ_max=_jaccard_differ,
         ),
         Measure(
             name="sequence_matcher",
@@ -219,6 +236,7 @@ MEASURES = {
             worst_large=lambda n, low, t: (n * t / (2.0 - t), n),
             tiers=_sequence_tiers,
             wide_below=0.5,
+            differ_max=_sequence_differ,
             possible=_sequence_possible,
         ),
         Measure(
@@ -234,6 +252,7 @@ MEASURES = {
             worst_large=lambda n, low, t: (n, n),
             tiers=_edit_tiers,
             wide_below=0.5,
+            differ_max=_edit_differ,
             segments=True,
         ),
     )

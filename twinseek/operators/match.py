@@ -229,8 +229,8 @@ def match_prepared(index: CorpusIndex, units: DataFrame, classes: DataFrame, pre
             down.select(F.col("large_cid").alias("new_cid"), F.col("small_cid").alias("old_cid"), "threshold")
         )
         if m.segments:
-            up = segment_pairs(classes, index.classes, floor, "all")
-            down = segment_pairs(index.classes, classes, floor, "none")
+            up = segment_pairs(classes, index.classes, m, floor, "all")
+            down = segment_pairs(index.classes, classes, m, floor, "none")
             pairs = pairs.unionByName(up.withColumnsRenamed({"small_cid": "new_cid", "large_cid": "old_cid"})).unionByName(
                 down.withColumnsRenamed({"large_cid": "new_cid", "small_cid": "old_cid"})
             )
@@ -281,7 +281,7 @@ def match_units(
     if index.floor < 1.0:
         pairs = overlap_pairs(index.prefix, index.prefix, m, index.floor, "once")
         if m.segments:
-            pairs = pairs.unionByName(segment_pairs(classes, classes, index.floor, "once"))
+            pairs = pairs.unionByName(segment_pairs(classes, classes, m, index.floor, "once"))
         if m.symmetric:
             once = pairs.select(F.col("small_cid").alias("new_cid"), F.col("large_cid").alias("old_cid"), "threshold")
             scored = _scored(once, classes, classes, m).withColumnsRenamed({"new_cid": "small_cid", "old_cid": "large_cid"})

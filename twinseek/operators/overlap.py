@@ -2,8 +2,8 @@
 
 Features of a set are ordered rare first (by a table of fixed size that tells how many sets hold them, then by hash), the
 same order for all sets; every set orders and cuts its own features, so that only prefixes are shuffled. A pair that must share `need` features has its first shared feature among the first ``count - need + 1`` of both
-sides, so only these prefixes are joined (prefix filter). Sizes, positions and the number of shared prefix features
-then bound the possible overlap of a pair. All bounds are safe: no pair that reaches its threshold is lost. The caller
+sides, so only these prefixes are joined (prefix filter). Sizes, positions, bit signatures and the number of shared prefix
+features then bound the possible overlap of a pair. All bounds are safe: no pair that reaches its threshold is lost. The caller
 computes the exact score.
 
 A feature is one BIGINT: rarity in the high bits, a hash in the low ones. Two features with the same number look like
@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from twinseek.functions.measures import Measure, Tier
 from twinseek.operators.segments import segmented
+from twinseek.operators.signatures import HALVES, may_differ, signature
 from twinseek.plans.layout import KEY_ROWS
 
 ROUNDING = 1e-6
@@ -145,7 +146,7 @@ def prefixes(classes: DataFrame, measure: Measure, floor: float, rarity: np.ndar
 
     hashed = F.transform("payload", lambda x: F.xxhash64(x))
     ordered = of_tokens(hashed, "keep") if measure.by_tokens else of_grams("payload", "q", "keep")
-    return sized.select("cid", "q", "size", "t", "m", "p_small", "p_large", ordered.alias("ordered"))
+    return sized.select("cid", "q", "size", "t", "m", "p_small", "p_large", *signature(measure, floor), ordered.alias("ordered"))
 
 
 def _postings(prefix: DataFrame, role: str, least_holders: int, key_rows: int, holders_now: DataFrame | None) -> DataFrame:
@@ -167,7 +168,7 @@ def _postings(prefix: DataFrame, role: str, least_holders: int, key_rows: int, h
     listed = listed.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), width - 1)))
     at = ("_own", "_other") if role == "small" else ("_other", "_own")
     return listed.select(
-        "q", "feature", F.col(at[0]).alias("row"), F.col(at[1]).alias("column"), *[F.col(c).alias(f"{role}_{c}") for c in ("cid", "size", "t", "m", "pos")]
+        "q", "feature", F.col(at[0]).alias("row"), F.col(at[1]).alias("column"), *[F.col(c).alias(f"{role}_{c}") for c in ("cid", "size", "t", "m", "pos", *HALVES)]
     )
 
 
@@ -198,6 +199,7 @@ def overlap_pairs(
     met = sides["small"].join(sides["large"], ["feature", "q", "row", "column"])
     met = met.filter(
         ((small < large) | ((small == large) & equal)) & (threshold > 0) & measure.size_ok(small, large, threshold) & reachable
+        & may_differ(measure, small, large, threshold)
     )
     for q, high in bounds:
         met = met.filter((F.col("q") != q) | (large < high))

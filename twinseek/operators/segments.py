@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinseek.functions.measures import Measure
+from twinseek.operators.signatures import HALVES, may_differ, signature
 from twinseek.plans.layout import KEY_ROWS
 
 # Segments have at least so many characters, and a pair at most so many edits.
@@ -55,7 +57,9 @@ def _paired(rows: DataFrame) -> DataFrame:
     return _placed(_placed(rows, "i"), "j")
 
 
-def segment_pairs(smaller: DataFrame, larger: DataFrame, floor: float, ties: str, key_rows: int = KEY_ROWS) -> DataFrame:
+def segment_pairs(
+    smaller: DataFrame, larger: DataFrame, measure: Measure, floor: float, ties: str, key_rows: int = KEY_ROWS
+) -> DataFrame:
     """(small_cid, large_cid, threshold) of classes that may reach their threshold, the smaller ones of a `segmented` size.
 
     `ties` as in `overlap_pairs`. Keys of many classes are dealt to a square grid, so that no key gathers more than about
@@ -63,14 +67,15 @@ def segment_pairs(smaller: DataFrame, larger: DataFrame, floor: float, ties: str
     """
     zero = F.lit(0)
     cut = smaller.filter(segmented(F.col("size"), floor) & (F.col("size") > 0))
-    cut = cut.select("cid", "size", "t", "payload", F.col("size").alias("l"), _segments(F.col("size"), floor).alias("n"))
+    cut = cut.select("cid", "size", "t", "payload", *signature(measure, floor), F.col("size").alias("l"), _segments(F.col("size"), floor).alias("n"))
     cut = _keyed(_paired(cut), zero, zero).select(
-        "key", F.col("l").alias("small_size"), F.col("cid").alias("small_cid"), F.col("t").alias("small_t")
+        "key", F.col("l").alias("small_size"), F.col("cid").alias("small_cid"), F.col("t").alias("small_t"),
+        *[F.col(x).alias(f"small_{x}") for x in HALVES],
     )
     strict = F.greatest(F.col("t"), F.lit(floor))
     shortest = F.greatest(F.lit(1), F.ceil(strict * F.col("size") - EPS).cast("int"))
     sizes = F.filter(F.sequence(shortest, F.greatest(shortest, F.col("size"))), lambda x: segmented(x, floor) & (x <= F.col("size")))
-    probe = larger.select("cid", "size", "t", "payload", _edits(F.col("size"), strict).alias("k"), F.explode(sizes).alias("l"))
+    probe = larger.select("cid", "size", "t", "payload", *signature(measure, floor), _edits(F.col("size"), strict).alias("k"), F.explode(sizes).alias("l"))
     probe = _paired(probe.withColumn("n", _segments(F.col("l"), floor)))
     for x in ("i", "j"):
         probe = probe.withColumn(f"by_{x}", F.explode(F.sequence(-F.col("k"), F.col("k"))))
@@ -78,10 +83,13 @@ def segment_pairs(smaller: DataFrame, larger: DataFrame, floor: float, ties: str
     spent = F.abs(by_i) + F.abs(by_j - by_i) + F.abs(longer - by_j)
     inside = (F.col("start_i") + by_i >= 0) & (F.col("start_j") + by_j + F.col("width_j") <= F.col("size"))
     probe = _keyed(probe.filter((spent <= F.col("k")) & inside), by_i, by_j)
-    probe = probe.select("key", "l", F.col("size").alias("large_size"), F.col("cid").alias("large_cid"), F.col("t").alias("large_t")).distinct()
+    probe = probe.select(
+        "key", "l", F.col("size").alias("large_size"), F.col("cid").alias("large_cid"), F.col("t").alias("large_t"),
+        *[F.col(x).alias(f"large_{x}") for x in HALVES],
+    ).distinct()
 
-    hot = cut.groupBy("key").agg(F.count("*").alias("a")).filter(F.col("a") > key_rows)
-    hot = hot.join(probe.groupBy("key").agg(F.count("*").alias("b")), "key")
+    held = cut.groupBy("key").agg(F.count("*").alias("a")).join(probe.groupBy("key").agg(F.count("*").alias("b")), "key")
+    hot = held.filter(F.greatest("a", "b") > key_rows)
     hot = hot.select("key", F.ceil(F.greatest("a", "b") / F.lit(float(key_rows))).cast("bigint").alias("grid"))
     width = F.coalesce("grid", F.lit(1).cast("bigint"))
     others = F.explode(F.sequence(F.lit(0).cast("bigint"), width - 1))
@@ -94,4 +102,5 @@ def segment_pairs(smaller: DataFrame, larger: DataFrame, floor: float, ties: str
     small, large = F.col("small_size"), F.col("large_size")
     threshold = F.greatest("small_t", "large_t")
     met = met.filter((small == F.col("l")) & ((small < large) | ((small == large) & equal)) & (threshold > 0) & (small >= threshold * large - EPS))
+    met = met.filter(may_differ(measure, small, large, threshold))
     return met.select("small_cid", "large_cid", threshold.alias("threshold")).distinct()
