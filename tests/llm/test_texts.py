@@ -171,6 +171,26 @@ def test_page_with_blocks_under_body():
     assert html_extraction.extract(around.format(blocks)) == text
 
 
+_LONG = "<p>" + "A long sentence, here; with marks. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "kept"),
+    [
+        ('<nav><a>x</a></nav><div class="post has-form"><h1>T</h1>{0}{0}</div><div class="sidebar">Links More</div>', "<h1>T</h1>{0}{0}"),
+        ('<div class="search-results">{0}{0}</div><div class="menu">Home About</div>', "{0}{0}"),
+        ('<div class="post has-form"><article><h1>T</h1>{0}</article><div class="related">More, of it.</div></div>', "<h1>T</h1>{0}"),
+        ('<article><p>Short one.</p></article><div class="sidebar">{0}{0}</div>', "<p>Short one.</p>"),
+        ('<div class="page">{0}<div class="ad">Buy, now</div>{0}</div>', "{0}{0}"),
+        ('<div class="text">{0}</div><div class="comments">{0}{0}</div>', "{0}"),
+    ],
+)
+def test_suspect_names_do_not_remove_the_main_text(page, kept):
+    """A class word puts a box aside only if its ratios agree; reader comments always go."""
+    want = " ".join(re.sub("<[^>]*>", " ", kept.format(_LONG)).split())
+    assert html_extraction.extract(page.format(_LONG)) == want
+
+
 def test_pages_edges(spark):
     frame = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "<p>a " * 30_000, "y")], "page_id long, html string, text string")
     got = html_extraction.main_texts(frame).collect()

@@ -3,8 +3,9 @@
 A page is read once into text nodes, each with its root-to-leaf path of block tags (with class and id). Per path, text
 length per node and punctuation per node are taken; along the page both ratios are smoothed and fused, and paths above a
 threshold are content. Their container (the article, or else the common parent, be it the body) supplies its other nodes
-too, so headings and short paragraphs around long ones stay. Nodes inside menus, headers, footers, side bars, adverts, notices, forms,
-reader comments, scripts and styles are never candidates.
+too, so headings and short paragraphs around long ones stay. Nodes inside menus, headers, footers, side bars, forms, scripts, styles
+(by their elements) and reader comments are never candidates; boxes that only their class, id or role names so (advert, notice,
+search, ...) are left out unless their ratios show that they hold the page's main text.
 """
 
 from __future__ import annotations
@@ -55,15 +56,15 @@ _NEVER_NAMES = _COMMENT_NAMES | {
 
 
 class _Element:
-    __slots__ = ("tag", "path", "shown", "article")
+    __slots__ = ("tag", "path", "shown", "article", "doubt")
 
-    def __init__(self, tag: str, path: str, shown: bool, article: str | None) -> None:
-        self.tag, self.path, self.shown, self.article = tag, path, shown, article
+    def __init__(self, tag: str, path: str, shown: bool, article: str | None, doubt: tuple[str, ...] = ()) -> None:
+        self.tag, self.path, self.shown, self.article, self.doubt = tag, path, shown, article, doubt
 
 
 def _opened(parent: _Element, tag: str, attributes: str) -> _Element:
     names: set[str] = set()
-    hidden = False
+    hidden = doubtful = False
     label = tag
     for m in _ATTRIBUTE.finditer(attributes) if attributes.strip(" /") else ():
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -78,16 +79,26 @@ def _opened(parent: _Element, tag: str, attributes: str) -> _Element:
         names = set()
     elif tag in _ARTICLE:
         names &= _COMMENT_NAMES
-    elif not parent.article and (tag == "header" or names & _HEADER_NAMES):
+    elif not parent.article and tag == "header":
         hidden = True
-    shown = parent.shown and not hidden and tag not in _NEVER and not names & _NEVER_NAMES
-    return _Element(tag, path, shown, path if tag in _ARTICLE or "main" in names and tag == "div" else parent.article)
+    elif not parent.article and names & _HEADER_NAMES:
+        doubtful = True
+    shown = parent.shown and not hidden and tag not in _NEVER and not names & _COMMENT_NAMES
+    doubt = (*parent.doubt, path) if doubtful or names & _NEVER_NAMES else parent.doubt
+    return _Element(tag, path, shown, path if tag in _ARTICLE or "main" in names and tag == "div" else parent.article, doubt)
 
 
-def text_nodes(page: str) -> list[tuple[str, str | None, str]]:
-    """(path, path of the enclosing article, text) of the candidate blocks, in page order; white space is collapsed."""
+# Path, path of the enclosing article, paths of the enclosing boxes with a suspect name, text.
+_Node = tuple[str, str | None, tuple[str, ...], str]
+
+
+def text_nodes(page: str) -> list[_Node]:
+    """The blocks in page order.
+
+    White space is collapsed. Blocks that the markup itself puts aside (menus, forms, scripts, comments, ...) are left out.
+    """
     stack = [_Element("", "", True, None)]
-    nodes: list[tuple[str, str | None, str]] = []
+    nodes: list[_Node] = []
     pieces: list[str] = []
     owner = stack[0]
 
@@ -96,7 +107,7 @@ def text_nodes(page: str) -> list[tuple[str, str | None, str]]:
         if pieces:
             text = " ".join(html_module.unescape("".join(pieces)).split())
             if text:
-                nodes.append((owner.path, owner.article, text))
+                nodes.append((owner.path, owner.article, owner.doubt, text))
             pieces.clear()
         owner = stack[-1]
 
@@ -161,9 +172,29 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return 0.25 * wide[:-2] + 0.5 * wide[1:-1] + 0.25 * wide[2:]
 
 
+def _trusted(nodes: list[_Node]) -> list[tuple[str, str | None, str]]:
+    """The blocks (path, article, text) outside boxes whose name alone (class, id, role) suggests boilerplate.
+
+    Such a name is overruled by the box's ratios, unless an article stands outside all such boxes: a box of over half of the
+    page's text, whose fused ratio per block is at least the mean of the page, is the main text whatever it is called. Boxes
+    inside it are judged in the same way.
+    """
+    overruled: set[str] = set()
+    if any(boxes for _, _, boxes, _ in nodes) and not any(article and not boxes for _, article, boxes, _ in nodes):
+        totals: dict[str, np.ndarray] = {}
+        page = np.zeros(3)
+        for _, _, boxes, text in nodes:
+            facts = np.array([1, len(text), len(text) * (1 + len(_MARKS.findall(text)))], float)
+            page += facts
+            for box in boxes:
+                totals[box] = totals.get(box, 0) + facts
+        overruled = {b for b, (n, size, fused) in totals.items() if 2 * size > page[1] and fused * page[0] >= page[2] * n}
+    return [(path, article, text) for path, article, boxes, text in nodes if all(b in overruled for b in boxes)]
+
+
 def extract(page: str | None, threshold: float = THRESHOLD) -> str:
     """The main text of a page; the empty string if there is none."""
-    nodes = text_nodes(page or "")
+    nodes = _trusted(text_nodes(page or ""))
     if not nodes:
         return ""
     names, path = np.unique([p for p, _, _ in nodes], return_inverse=True)
