@@ -248,3 +248,10 @@ def test_measures_in_sql(spark):
         "jaccard_tokens('', '!'), levenshtein_norm('', ''), levenshtein_norm('', 'a')"
     ).first()
     assert [round(x, 6) for x in row] == [0.4, 0.571429, 0.75, 1.0, 1.0, 0.0]
+
+
+def test_small_source_table_is_parsed_by_all_cores(spark):
+    files = spark.createDataFrame([(f"f{i}.py", f"def f{i}():\n    return {i}\n") for i in range(40)], "file_path string, content string").coalesce(1)
+    found = extract_functions(files)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r.name for r in found.collect()) == sorted(f"f{i}" for i in range(40))
