@@ -273,3 +273,18 @@ def test_whole_documents_by_edit_distance_equal_nested_loop(spark):
     config = ThresholdConfig(0.9)
     got = pairs(match_units(spark.createDataFrame(rows, COLUMNS), measure="levenshtein_norm", thresholds=config))
     assert set(got) == nested_loop(rows, "levenshtein_norm", config) and len(got) == len(set(got))
+
+
+def test_few_candidates_for_token_sets_with_common_words(spark):
+    """Sets that share a few common words leave inside the join; no pair that reaches the threshold does."""
+    rng = random.Random(21)
+    words = [f"w{int(rng.paretovariate(0.4))}" for _ in range(40_000)]
+    bodies = [" ".join(rng.sample(words, 150)) for _ in range(300)]
+    bodies += [b.replace(" ", " extra ", 1).rsplit(" ", 20)[0] for b in bodies[::10]]
+    rows, t = rows_of(bodies), 0.5
+    index = build_index(spark.createDataFrame(rows, COLUMNS), thresholds=ThresholdConfig(t))
+    sets = {r.cid: set(r.payload) for r in index.classes.select("cid", "payload").collect()}
+    found = {tuple(sorted((r.small_cid, r.large_cid))) for r in overlap_pairs(index.prefix, index.prefix, index.measure, index.floor, "once").collect()}
+    ids = sorted(sets)
+    hits = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
+    assert hits and hits <= found and len(found) <= 5 * len(hits)
