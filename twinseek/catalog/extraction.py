@@ -21,6 +21,10 @@ from twinseek.sources.files import changed_cap, changed_set, scan_files, scan_fo
 # --- files ---------------------------------------------------------------------------------------------------------
 
 
+# A file that is read back is one row, so a file holds a bounded number of documents, however many a task writes.
+FILE_DOCUMENTS = 200
+
+
 def _line_counts(files: DataFrame, *keys: str) -> DataFrame:
     # Each file ends with a line break, so the last piece of its text is not a line.
     lines = F.split("content", "\n", -1)
@@ -35,7 +39,7 @@ _ALL_LINES = """SELECT source, unnest(string_split(regexp_replace(text, '\\r\\n?
 def q_scan_files(spark: SparkSession, sf: str) -> DataFrame:
     """Documents written as text files in one folder per source, read back as files, counted by line."""
     root = scratch_path(spark, "files")
-    table(spark, sf, "documents").select("text", "source").write.partitionBy("source").text(root)
+    table(spark, sf, "documents").select("text", "source").write.option("maxRecordsPerFile", FILE_DOCUMENTS).partitionBy("source").text(root)
     files = scan_files(spark, root, suffix=".txt")
     return _line_counts(files.withColumn("source", F.regexp_extract("file_path", "^source=([^/]*)/", 1)), "source")
 
@@ -43,7 +47,7 @@ def q_scan_files(spark: SparkSession, sf: str) -> DataFrame:
 @query("scan_folder", f"SELECT md5(x) AS line, count(*) AS n FROM ({_ALL_LINES}) GROUP BY ALL")
 def q_scan_folder(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "folder")
-    table(spark, sf, "documents").select("text").write.text(root)
+    table(spark, sf, "documents").select("text").write.option("maxRecordsPerFile", FILE_DOCUMENTS).text(root)
     return _line_counts(scan_folder(spark, root, suffix=".txt"))
 
 
