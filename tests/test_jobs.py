@@ -11,12 +11,14 @@ import pytest
 
 import __spark_entry__ as entry_point
 from twinseek.catalog import QUERIES, pairing
+from twinseek.catalog.extraction import q_scan_files, q_scan_folder
+from twinseek.operators.match import match_units, with_texts
 from twinseek.operators.thresholds import ThresholdConfig
 from twinseek.plans.jobs import build_pairs, check_changes, evaluate_measures, module_functions
 from twinseek.schema import UNIT_SCHEMA
-from twinseek.session import scratch_root
+from twinseek.session import materialize, scratch_root
 from twinseek.sources.files import changed_set, scan_files, scan_folder
-from twinseek.sources.sinks import load_pairs, report_document
+from twinseek.sources.sinks import load_pairs, report_document, write_report
 from twinseek.streaming.check import read_stream_matches, stream_check
 
 ADD = """def total(items):
@@ -152,3 +154,33 @@ def test_pair_arrays_stay_small_under_skew(spark, tmp_path):
     (folder,) = folders() - before
     sizes = [len(json.loads(p.read_text())) for p in folder.rglob("part-*") if p.stat().st_size]
     assert sum(sizes) == 180 * 179 // 2 + 6 and max(sizes) <= 1.5 * pairing.ARRAY_PAIRS
+
+
+def test_report_in_passes_holds_texts_once(spark, tmp_path, monkeypatch):
+    """Several passes write every match once, each text only in the report itself, with the totals of all."""
+    monkeypatch.setattr("twinseek.sources.sinks.PASS_MATCHES", 2)
+    rows = [(i, f"n{i}", f"f/{i}.py", 1, 2, "s", f"one two three four five six {'x' * (i % 2)}") for i in range(4)]
+    units = spark.createDataFrame(rows, UNIT_SCHEMA)
+    matches = materialize(match_units(units, thresholds=ThresholdConfig(0.5)), "matches")
+    labels = []
+    monkeypatch.setattr("twinseek.session.scratch_path", lambda s, label: labels.append(label) or str(tmp_path / f"{label}-{len(labels)}"))
+    joined = with_texts(matches, units)
+    labels.clear()
+    write_report(joined, str(tmp_path / "r"))
+    assert labels == []
+    back = spark.read.json(str(tmp_path / "r" / "matches"))
+    got = sorted((r.a, r.b, r.t) for r in back.selectExpr("new_function.name a", "existing_function.name b", "existing_function.body_content t").collect())
+    assert got == sorted((f"n{a}", f"n{b}", rows[b][6]) for a in range(4) for b in range(4) if a != b)
+    assert spark.read.json(str(tmp_path / "r" / "summary")).first().total_matches == 12
+
+
+def test_files_of_a_folder_hold_few_documents(spark, tmp_path, monkeypatch):
+    """One task that writes 900 documents makes several files, none of more than FILE_DOCUMENTS; all lines are counted."""
+    docs = [(i, f"text {i % 7}\nsecond", "en", "big") for i in range(900)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    made = []
+    monkeypatch.setattr("twinseek.catalog.extraction.scratch_path", lambda s, label: made.append(str(tmp_path / label)) or made[-1])
+    for found, total in ((q_scan_folder(spark, str(tmp_path)), 1800), (q_scan_files(spark, str(tmp_path)), 1800)):
+        assert found.agg({"n": "sum"}).first()[0] == total
+        files = [p for p in Path(made[-1]).rglob("*.txt")]
+        assert files and max(p.read_text().count("\n") for p in files) <= 2 * 200
