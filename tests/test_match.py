@@ -10,7 +10,7 @@ import pytest
 
 from twinseek.functions.measures import available_measures, get_measure
 from twinseek.operators import overlap
-from twinseek.operators.match import build_index, match_index, match_units
+from twinseek.operators.match import build_index, match_classes, match_index, match_units
 from twinseek.operators.overlap import overlap_pairs
 from twinseek.operators.segments import segment_pairs
 from twinseek.operators.signatures import HALVES, signature
@@ -316,3 +316,17 @@ def test_shuffle_files_go_with_their_pass(spark):
     held = shuffles.shuffleStatuses().size()
     assert materialize(spark.range(1000).groupBy("id").count(), "t").count() == 1000
     assert shuffles.shuffleStatuses().size() <= held
+
+
+@pytest.mark.parametrize("measure", ["levenshtein_norm", "sequence_matcher"])
+def test_copies_are_members_not_pairs(spark, measure):
+    """Ten times the copies give the same pairs and ten times the members; together they give all matches of units."""
+    bodies = texts(16, 40)
+    for copies in (1, 10):
+        rows = rows_of(bodies * copies)
+        found, members = match_classes(spark.createDataFrame(rows, COLUMNS), measure=measure, thresholds=ThresholdConfig(0.7))
+        got, of = [(r.new_id, r.old_id) for r in found.collect()], {r.unit_id: r.class_id for r in members.collect()}
+        held = {r[0]: r[6] for r in rows}
+        assert len(got) == len(set(got)) and of == {i: min(j for j in held if held[j] == b) for i, b in held.items()}
+        ids = sorted(set(of.values()))
+        assert set(got) == {(a, b) for a in ids for b in ids if a != b and SCORES[measure](held[a], held[b]) >= 0.7}
