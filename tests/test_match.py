@@ -7,6 +7,7 @@ import re
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from twinseek.functions.measures import available_measures, get_measure
 from twinseek.operators import overlap
@@ -305,6 +306,27 @@ def test_token_join_in_passes(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == nested_loop(rows, "jaccard_tokens", MIXED, new)
 
 
+def test_passes_follow_the_input():
+    """Passes take in proportion to the classes, so that neither disk nor rereading grows faster than its share."""
+    from twinseek.operators.match import PASS_CLASSES, _passes
+
+    assert [_passes(n, 100, 10) for n in (0, 100, 101, 1000)] == [1, 1, 2, 10]
+    assert _passes(4000, 100, 4 * PASS_CLASSES) == 10
+
+
+def test_written_tables_are_small_and_batches_bounded(spark):
+    """Tables are packed tighter than by default, and a Python worker gets few long rows at once."""
+    import os
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    length = F.pandas_udf(lambda x: x * 0 + len(x), "long")
+    longest = materialize(spark.range(3000).coalesce(1).select(length("id").alias("n")), "batches").agg(F.max("n")).first()[0]
+    assert longest <= 500 and spark.conf.get(name) == before
+    files = materialize(spark.range(10), "packed").inputFiles()
+    assert files and all(os.path.basename(f).endswith(".zstd.parquet") for f in files)
+
+
 def test_shuffle_files_go_with_their_pass(spark):
     seen = []
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
