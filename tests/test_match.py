@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from twinseek.functions.measures import available_measures, get_measure
 from twinseek.operators import overlap
-from twinseek.operators.match import build_index, match_classes, match_index, match_units
+from twinseek.operators.match import build_index, match_classes, match_index, match_units, token_pairs
 from twinseek.operators.overlap import overlap_pairs
 from twinseek.operators.segments import segment_pairs
 from twinseek.operators.signatures import HALVES, signature
@@ -306,6 +306,27 @@ def test_token_join_in_passes(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == nested_loop(rows, "jaccard_tokens", MIXED, new)
 
 
+def test_passes_keep_near_pairs_only(spark, tmp_path, monkeypatch):
+    """Candidates go with the pass that met them, a near pair is kept once, and parts that meet too many are halved without loss."""
+    made = []
+    for module in ("operators.match", "session"):
+        monkeypatch.setattr(f"twinseek.{module}.scratch_path", lambda s, label: made.append((label, tmp_path / f"{label}-{len(made)}")) or str(made[-1][1]))
+    parts, plain = [], overlap.overlap_pairs
+    monkeypatch.setattr("twinseek.operators.match.overlap_pairs", lambda *a, **k: parts.append(k.get("part", (0, 1))) or plain(*a, **k))
+    for name, most in (("PASS_POSTINGS", 200), ("PASS_PAIRS", 20)):
+        monkeypatch.setattr(f"twinseek.operators.match.{name}", most)
+    rows = rows_of(texts(14, 120))
+    index = build_index(spark.createDataFrame(rows, COLUMNS), thresholds=MIXED, allow_wide=True)
+    near = token_pairs(index.prefix, index.prefix, index.measure, index.floor, "once")
+    met = {(r.small_cid, r.large_cid) for r in plain(index.prefix, index.prefix, index.measure, index.floor, "once").collect()}
+    kept = [(r.small_cid, r.large_cid) for r in near.collect()]
+    assert len(kept) == len(set(kept)) and set(kept) <= met
+    assert len({n for _, n in parts}) > 1 and sum(1 / n for _, n in parts) == 1
+    written = [path for label, path in made if label.startswith("candidates")]
+    assert len(written) == len(parts) and not any(path.exists() for path in written)
+    assert set(pairs(match_units(spark.createDataFrame(rows, COLUMNS), thresholds=MIXED, allow_wide=True))) == nested_loop(rows, "jaccard_tokens", MIXED)
+
+
 def test_passes_follow_the_input():
     """Passes take in proportion to the classes, so that neither disk nor rereading grows faster than its share."""
     from twinseek.operators.match import PASS_CLASSES, _passes
