@@ -373,3 +373,20 @@ def test_copies_are_members_not_pairs(spark, measure):
         assert len(got) == len(set(got)) and of == {i: min(j for j in held if held[j] == b) for i, b in held.items()}
         ids = sorted(set(of.values()))
         assert set(got) == {(a, b) for a in ids for b in ids if a != b and SCORES[measure](held[a], held[b]) >= 0.7}
+
+
+def test_short_texts_match_copy_by_copy(spark, tmp_path):
+    """`match_levenshtein` returns a pair for each two parts, also for two that have the same text."""
+    import duckdb
+
+    from twinseek.catalog import ORACLES, QUERIES
+
+    rows = [(1, "dark blue steel bolt"), (2, "dark blue steel bolt"), (3, "dark blue steel bolts"), (4, "pale green wooden nut"), (5, None)]
+    parts = spark.createDataFrame([(i, n, "Brand#1", "LARGE") for i, n in rows], "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING")
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    got = QUERIES["match_levenshtein"](spark, str(tmp_path))
+    assert sorted((r.new_id, r.old_id) for r in got.collect()) == [(1, 2), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    want = con.execute(ORACLES["match_levenshtein"]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 6
