@@ -390,3 +390,59 @@ def test_short_texts_match_copy_by_copy(spark, tmp_path):
     con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
     want = con.execute(ORACLES["match_levenshtein"]).fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 6
+
+
+def _postings_batch(sets):
+    """Postings of (cid, t, features in order, first common word), all in both roles, ordered by feature."""
+    import pyarrow as pa
+
+    from twinseek.operators.signatures import COMMON
+
+    rows = []
+    for cid, t, features, word in sets:
+        for pos, feature in enumerate(features):
+            row = {"feature": feature, "row": 0, "column": 0, "cid": cid, "size": len(features), "t": t, "m": len(features), "pos": pos, "rare": len(features)}
+            row |= {"earlier": features[pos - 1] if pos else -1, **dict.fromkeys((*COMMON, *HALVES), 0), COMMON[0]: word, "signed": True, "is_small": True, "is_large": True}
+            rows.append(row)
+    return pa.RecordBatch.from_pylist(sorted(rows, key=lambda r: r["feature"]))
+
+
+def test_a_pair_of_token_sets_is_listed_where_it_first_meets():
+    m = get_measure("jaccard_tokens")
+    meets = overlap._token_meets(m.differ_max, m.size_ok, m.shared_min, "once")
+    sets = [
+        (1, 0.7, list(range(0, 30)), 0), (2, 0.7, list(range(0, 30)), 0),  # one and the same: met once, not at each feature
+        (4, 0.7, list(range(100, 130)), 0), (5, 0.7, [99, *range(100, 130)], 0), (6, 0.7, list(range(100, 130)), -1),  # 64 differing bits
+    ]
+    batch = _postings_batch(sets)
+    whole = [tuple(r.values()) for b in meets(iter([batch])) for r in b.to_pylist()]
+    assert sorted(whole) == [(1, 2, 0.7), (4, 5, 0.7)]
+    single = [tuple(r.values()) for b in meets(batch.slice(i, 1) for i in range(batch.num_rows)) for r in b.to_pylist()]
+    assert sorted(single) == sorted(whole)
+
+
+def test_keys_of_postings_are_not_cut(monkeypatch):
+    monkeypatch.setattr(overlap, "CHUNK_ROWS", 5)
+    batch = _postings_batch([(i, 0.5, list(range(0, 20)), 0) for i in range(4)])
+    seen = [(set(c["feature"]), len(set(key))) for c, key in overlap._whole_keys((batch.slice(i, 3) for i in range(0, batch.num_rows, 3)), ["feature", "row", "column"])]
+    assert len(seen) > 5 and sum(len(f) for f, _ in seen) == len(set().union(*[f for f, _ in seen])) == 20
+    assert all(len(f) == n for f, n in seen)
+
+
+def test_sketches_of_many_lengths_at_once():
+    import numpy as np
+    import pandas as pd
+
+    from twinseek.operators.signatures import sketches_differ
+
+    rng = random.Random(3)
+    draw = lambda: None if rng.random() < 0.1 else rng.randbytes(rng.choice((8, 16, 64, 256)))
+    a, b = ([draw() for _ in range(300)] for _ in range(2))
+
+    def one(x, y):
+        n = min(len(x), len(y)) // 8
+        x, y = (np.bitwise_xor.reduce(np.frombuffer(v, np.uint64).reshape(-1, n)) for v in (x, y))
+        return sum(int(v).bit_count() for v in x ^ y)
+
+    want = [0 if x is None or y is None else one(x, y) for x, y in zip(a, b)]
+    assert list(sketches_differ.func(pd.Series(a), pd.Series(b))) == want
